@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Text bytes that numpy code handles at once; a single longer text is still taken whole.
 SLICE_BYTES = 1 << 20
 
@@ -58,6 +60,12 @@ def release() -> None:
 atexit.register(release)
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def small_enough(df: DataFrame, rows: int = 1_000_000) -> bool:
     """Whether ``df`` (a few numeric columns) has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
