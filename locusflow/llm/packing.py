@@ -100,9 +100,9 @@ def _tightest(open_: np.ndarray, room: int, have: np.ndarray) -> tuple[int, int]
     if not len(open_):
         return None
     k = np.searchsorted(open_, room - open_, "right") - 1
-    other = np.where(k >= 0, open_[k], 0)
+    other = np.where(k >= 0, open_[np.maximum(k, 0)], 0)
     alone = (other == open_) & (have[open_] < 2)
-    other = np.where(alone, np.where(k >= 1, open_[k - 1], 0), other)
+    other = np.where(alone, np.where(k >= 1, open_[np.maximum(k - 1, 0)], 0), other)
     total = np.where(other > 0, open_ + other, 0)
     if total.max() == 0:
         return None
