@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import decontaminate, nbsvm, ngram_join, packing, secret_scan, suffix_dedup
+from . import cap_filters, decontaminate, nbsvm, ngram_join, packing, preference, secret_scan, suffix_dedup
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preferences_from_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept, margins = nbsvm.accepted(docs, table(spark, sf_dir, "labels"))
@@ -37,7 +45,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_secret_scan": op7_secret_scan,
@@ -46,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": cap_filters.SQL,
+    "op4_chat_formatting": preference.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
     "op8_suffix_array_dedup": suffix_dedup.SQL,
     "op9_ngram_jaccard_join": ngram_join.SQL,
