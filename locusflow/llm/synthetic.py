@@ -87,7 +87,7 @@ def look_alike(rng: random.Random) -> str:
             lambda: f"{d(rng, 2)}:{d(rng, 2)}", lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", lambda: f"Version {rng.randint(1, 9)}.{rng.randint(0, 9)}.", lambda: f"${n},{d(rng, 3)}.{d(rng, 2)}",
             lambda: f"{n}%", lambda: f"http://{word(rng)}.example.com/{word(rng)}/{n}?page={n}&ref=x", lambda: f"@{word(rng)}", lambda: f"#{n}", lambda: f"{rng.randint(1, 99)}.{d(rng, rng.randint(1, 8))}",
             lambda: f"x{n} = {n};", lambda: f"({n})", lambda: f"+{rng.randint(1, 20)}", lambda: f"{n}-{n}", lambda: f"{word(rng)}{n}", lambda: f"[{n}, {n + 1}, {n * 2}]",
-            lambda: f"Section {rng.randint(1, 9)}.{rng.randint(1, 9)}", lambda: f"ISBN {d(rng, 13)}" if rng.random() < 0.2 else f"no. {d(rng, 7)}", lambda: word(rng).upper() + d(rng, 3), lambda: f"Copyright {rng.randint(1990, 2030)}",
+            lambda: f"Section {rng.randint(1, 9)}.{rng.randint(1, 9)}", lambda: f"no. {d(rng, 7)}", lambda: word(rng).upper() + d(rng, 3), lambda: f"Copyright {rng.randint(1990, 2030)}",
         )
     )()
 
