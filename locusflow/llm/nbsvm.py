@@ -82,11 +82,15 @@ def fit_head(feature: np.ndarray, bounds: np.ndarray, words: np.ndarray, positiv
     weights = np.zeros(1 << BITS, np.float32)
     if not len(positive) or positive.all() or not positive.any():
         return Head(weights, 1.0 if len(positive) and positive.all() else -1.0)
-    owner = np.repeat(positive, np.diff(bounds))
-    p = 1.0 + np.bincount(feature[owner], minlength=1 << BITS)
-    q = 1.0 + np.bincount(feature[~owner], minlength=1 << BITS)
+    p, q = np.ones(1 << BITS), np.ones(1 << BITS)
+    for lo in range(0, len(positive), 256):
+        hi = min(lo + 256, len(positive))
+        owner = np.repeat(positive[lo:hi], np.diff(bounds[lo : hi + 1]))
+        part = feature[bounds[lo] : bounds[hi]]
+        p += np.bincount(part[owner], minlength=1 << BITS)
+        q += np.bincount(part[~owner], minlength=1 << BITS)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[(p + q) < 4] = 0  # seen in one row: tells nothing of others
+    ratio[(p + q) < 4] = 0
     y = np.where(positive, 1.0, -1.0)
     limit = np.where(positive, c * len(y) / (2 * positive.sum()), c * len(y) / (2 * (~positive).sum()))
     rows = []
@@ -114,26 +118,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A head for each label column, from at most ``max_rows`` labelled rows, those of least id hash.
 
     Labels with a null id or value, and documents with a null text, are left out. Repeated labels count
-    as often as they stand (up to the bound).
+    as often as they stand (up to the bound); of texts repeated under one id, the greatest stands for it.
     """
     chosen = labels.select(F.col(id_col).alias("id"), *[F.col(t).cast("int").alias(f"y{k}") for k, t in enumerate(targets)]).dropna()
     chosen = chosen.orderBy(F.xxhash64("id"), *chosen.columns).limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).dropna()
-    got = texts.join(F.broadcast(chosen), "id").orderBy("id", "text").limit(2 * max_rows).toArrow()
-    parts, scale = [], []
-    for batch in got.to_batches():
-        for part in byte_slices(batch, 1, 1 << 22):
-            f, at, n = features(*tn.buffers(part.column(1)))
-            parts.append((f.astype(np.int32), np.diff(at)))
+    texts = texts.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    got = texts.join(F.broadcast(chosen), "id").toArrow().sort_by([("id", "ascending")])
+    marks = [got.column(f"y{k}").to_numpy() > 0 for k in range(len(targets))]
+    parts: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    scale = [np.zeros(0, np.int64)]
+    seen = np.zeros(1 << BITS, np.int32)
+    for batch in got.select(["text"]).to_batches():
+        for part in byte_slices(batch, 0):
+            f, at, n = features(*tn.buffers(part.column(0)))
+            seen += np.bincount(f, minlength=1 << BITS).astype(np.int32)
+            parts.append(f.astype(np.int32))
+            sizes.append(np.diff(at))
             scale.append(n)
-    feature = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))]) if parts else np.zeros(1, int)
-    words = np.concatenate(scale) if scale else np.zeros(0)
-    out = {}
-    for k, t in enumerate(targets):
-        y = got.column(f"y{k}").to_numpy() > 0 if parts else np.zeros(0, bool)
-        out[t] = fit_head(feature, bounds, words, y)
-    return out
+    del got
+    # a feature of one row alone tells nothing of others; without those, the rest is small
+    words, keep = np.concatenate(scale), seen >= 2
+    for k, f in enumerate(parts):
+        good = keep[f]
+        sizes[k] = np.diff(np.concatenate([[0], np.cumsum(good)])[np.concatenate([[0], np.cumsum(sizes[k])])])
+        parts[k] = f[good]
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if parts else np.zeros(1, np.int64)
+    feature = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    parts.clear()
+    return {t: fit_head(feature, bounds, words, y) for t, y in zip(targets, marks)}
 
 
 def score(docs: DataFrame, heads: dict[str, Head], text_col: str = "text") -> tuple[DataFrame, list[str]]:
