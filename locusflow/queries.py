@@ -101,9 +101,9 @@ ORACLE_SQL: dict[str, str] = {
     "count_overlaps_one_based": _count(_WEAK),
     "count_overlaps_sweep": _count(_STRICT),
     "coverage": f"""{_VIEWS}{_ISLANDS.format(t='b', d=0)}, r as (select *, row_number() over () as i from a)
-select a.chrom, a.s as start, a.e as "end", coalesce(sum(least(a.e, b.e) - greatest(a.s, b.s)), 0)::bigint as coverage from r a left join bm b on {_STRICT} group by a.i, a.chrom, a.s, a.e""",
+select a.chrom, a.s as start, a.e as "end", coalesce(sum(least(a.e, b.e) - greatest(a.s, b.s)) filter (b.s is not null), 0)::bigint as coverage from r a left join bm b on {_STRICT} group by a.i, a.chrom, a.s, a.e""",
     "coverage_one_based": f"""{_VIEWS.replace('+ 7 as e', '+ 8 as e')}{_ISLANDS.format(t='b', d=0)}, r as (select *, row_number() over () as i from a)
-select a.chrom, a.s as start, a.e as "end", coalesce(sum(least(a.e + 1, b.e) - greatest(a.s, b.s)), 0)::bigint as coverage from r a left join bm b on a.chrom = b.chrom and a.s < b.e and a.e + 1 > b.s group by a.i, a.chrom, a.s, a.e""",
+select a.chrom, a.s as start, a.e as "end", coalesce(sum(least(a.e + 1, b.e) - greatest(a.s, b.s)) filter (b.s is not null), 0)::bigint as coverage from r a left join bm b on a.chrom = b.chrom and a.s < b.e and a.e + 1 > b.s group by a.i, a.chrom, a.s, a.e""",
     "nearest": _near(1, True),
     "nearest_k3_no_overlap": _near(3, False),
     "merge": f'{_VIEWS}{_ISLANDS.format(t="a", d=0)} select chrom, s as start, e as "end", n as n_intervals from am',
