@@ -247,7 +247,8 @@ def fastqc_tidy(reads: DataFrame, modules: Sequence[str] | None = None) -> DataF
     chosen = _chosen(modules)
     spark = reads.sparkSession
     ship(spark)
-    counted = reads.select("name", "sequence", "quality_scores", "_index").mapInArrow(_counts(frozenset(chosen)), "kind string, a long, b long, n long, s long")
+    # the tile is in the whole header line
+    counted = reads.select(F.concat_ws(" ", "name", "description").alias("name"), "sequence", "quality_scores", "_index").mapInArrow(_counts(frozenset(chosen)), "kind string, a long, b long, n long, s long")
     # sizes of all that follow depend on read length alone
     c = counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).persist()
     kind = lambda k: c.filter(F.col("kind") == k)
@@ -272,9 +273,9 @@ def fastqc_tidy(reads: DataFrame, modules: Sequence[str] | None = None) -> DataF
             out += [_rows(q, m, "count", F.col("n"), None, F.col("a")), _status(top, m, F.col("t") < 20, F.col("t") < 27)]
         elif m == "per_base_content":
             t = F.col("0") + F.col("1") + F.col("2") + F.col("3")
-            d = base.filter(t > 0).select("a", *[(F.col(str(k)) * 100.0 / t).alias(x) for k, x in enumerate("ACGT")])
+            d = base.filter(t > 0).select(F.col("a").alias("p"), *[(F.col(str(k)) * 100.0 / t).alias(x) for k, x in enumerate("ACGT")])
             w = d.agg(F.max(F.greatest(F.abs(F.col("A") - F.col("T")), F.abs(F.col("G") - F.col("C")))).alias("d"))
-            out += [_long(d, m, ["G", "A", "T", "C"], pos), _status(w, m, F.col("d") > 20, F.col("d") > 10)]
+            out += [_long(d, m, ["G", "A", "T", "C"], F.col("p") + 1), _status(w, m, F.col("d") > 20, F.col("d") > 10)]
         elif m == "per_base_n":
             t = sum((F.col(str(k)) for k in range(1, 5)), F.col("0"))
             d = base.select("a", (F.col("4") * 100.0 / t).alias("pct"))
@@ -304,7 +305,8 @@ def fastqc_tidy(reads: DataFrame, modules: Sequence[str] | None = None) -> DataF
             d = _kmers(kind("kmer"), spark)
             label = F.concat(*[F.substring(F.lit("ACGT"), (F.shiftright("a", 2 * k).bitwiseAND(3) + 1).cast("int"), F.lit(1)) for k in range(K - 1, -1, -1)])
             d = d.withColumn("label", label)
-            values = {"count": F.col("count"), "obs_exp_max": F.col("obs_exp_max"), "max_position": F.col("at") + 1, "pvalue": F.col("pvalue")}
+            # every 50th read is looked at; counts are reported five-fold, as FastQC does
+            values = {"count": F.col("count") * 5, "obs_exp_max": F.col("obs_exp_max"), "max_position": F.col("at") + 1, "pvalue": F.col("pvalue")}
             out += [_rows(d, m, k, v, F.col("label")) for k, v in values.items()]
             w = d.agg(F.min("pvalue").alias("p"))
             out.append(_status(w, m, F.col("p") < 1e-5, F.col("p") < 0.01))
@@ -313,7 +315,6 @@ def fastqc_tidy(reads: DataFrame, modules: Sequence[str] | None = None) -> DataF
         keys = keys.persist()
         if "overrepresented" in chosen:
             d = keys.withColumn("pct", F.col("n") * 100.0 / F.lit(max(total, 1))).filter("pct > 0.1").withColumn("source", _source(keys))
-            src = _rows(d, "overrepresented", "source", F.lit(None), F.col("key")).drop("value_str")
             src = d.select(F.lit("overrepresented").alias("module"), F.col("key").alias("label"), F.lit(None).cast("int").alias("position"), F.lit("source").alias("metric"), F.lit(None).cast("double").alias("value"), F.col("source").alias("value_str"))
             w = d.agg(F.max("pct").alias("p"))
             out += [_rows(d, "overrepresented", "count", F.col("n"), F.col("key")), _rows(d, "overrepresented", "pct", F.col("pct"), F.col("key")), src, _status(w, "overrepresented", F.col("p") > 1, F.col("p") > 0.1)]
