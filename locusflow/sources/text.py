@@ -197,11 +197,16 @@ def read_vcf(
     alleles and filters are joined by ``|`` and ``;``. ``end`` is the INFO field END, or else the reference
     allele's last position. A key without a value is null, a flag without its key false.
     """
-    zero = use_zero_based(zero_based, spark)
     header = VcfHeader(header_lines(paths_of(path)[0]))
+    return variants(spark, lines(spark, path), header, "vcf", path, info_fields, format_fields, samples, zero_based)
+
+
+def variants(spark: SparkSession, raw: DataFrame, header: VcfHeader, kind: str, path: str, info_fields, format_fields, samples, zero_based) -> DataFrame:
+    """Columns of the VCF lines in ``raw``, as ``read_vcf`` has them."""
+    zero = use_zero_based(zero_based, spark)
     info = list(header.info) if info_fields is None else list(info_fields)
     formats = list(header.format) if format_fields is None else list(format_fields)
-    f = _fields(lines(spark, path))
+    f = _fields(raw)
     pos = _at(1).cast("long")
     end = F.coalesce(F.regexp_extract(F.concat(F.lit(";"), _at(7)), r";END=(\d+)", 1).try_cast("long"), pos + F.length(_at(3)) - 1)
     cols = [
@@ -227,7 +232,7 @@ def read_vcf(
         else:
             cols.append(F.struct(*[F.array(*[value(s, n) for s in chosen]).alias(n) for n in formats]).alias("genotypes"))
     df = with_coordinate_system(f.select(*cols), zero)
-    return set_source_metadata(df, "vcf", path, header.as_dict() | {"sample_names": chosen})
+    return set_source_metadata(df, kind, path, header.as_dict() | {"sample_names": chosen})
 
 
 def describe_vcf(spark: SparkSession, path: str) -> DataFrame:
