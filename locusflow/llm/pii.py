@@ -242,20 +242,30 @@ def tag(data: np.ndarray, offsets: np.ndarray, p: dict[str, np.ndarray], core: i
     def step(w, index, k):
         s, c = both[:, :k], cell[:, :k]
         s[h:-1] = table.take(cls[index], axis=1)
-        z = _gates(w @ s, h)
+        # all gates as 1 / (1 + exp(.)), the weights scaled to fit: tanh(x) is 2 / (1 + exp(-2 x)) - 1
+        z = w @ s
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
+        z += 1
+        np.reciprocal(z, out=z)
+        g = z[3 * h :]
+        g *= 2
+        g -= 1
         c *= z[h : 2 * h]
-        z[:h] *= z[3 * h :]
-        c += z[:h]
+        g *= z[:h]
+        c += g
         np.tanh(c, out=z[:h])
         np.multiply(z[:h], z[2 * h : 3 * h], out=s[:h])
         return s[:h]
 
+    scale = -np.repeat(np.array([1, 1, 1, 2], np.float32), h)[:, None]
     for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
         both[:], cell[:] = 0, 0
         both[-1] = 1
+        weights = p["w" + d] * scale
         for t in order:
             k = live[t]
-            o = p["o" + d] @ step(p["w" + d], first[:k] + t, k)
+            o = p["o" + d] @ step(weights, first[:k] + t, k)
             if d == "f":
                 e[t, :, :k] = o
             else:
