@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.depth import depth
 from .functions.fastqc import fastqc
 from .operators import interval
-from .sources import bam, bbi, bcf, fastq, text
+from .sources import bam, bbi, bcf, bgen, fastq, text
 
 READERS: dict[str, Callable[..., DataFrame]] = {
-    "bed": text.read_bed, "vcf": text.read_vcf, "gff": text.read_gff, "gtf": text.read_gtf, "pairs": text.read_pairs, "fasta": text.read_fasta, "fastq": fastq.read_fastq, "sam": text.read_sam, "bam": bam.read_bam, "bcf": bcf.read_bcf, "bigwig": bbi.read_bigwig, "bigbed": bbi.read_bigbed, "table": text.read_table,
+    "bed": text.read_bed, "vcf": text.read_vcf, "gff": text.read_gff, "gtf": text.read_gtf, "pairs": text.read_pairs, "fasta": text.read_fasta, "fastq": fastq.read_fastq, "sam": text.read_sam, "bam": bam.read_bam, "bcf": bcf.read_bcf, "bgen": bgen.read_bgen, "bigwig": bbi.read_bigwig, "bigbed": bbi.read_bigbed, "table": text.read_table,
 }
 
 
@@ -49,8 +49,8 @@ def _registrar(kind: str):
     return f
 
 
-register_bed, register_vcf, register_gff, register_gtf, register_pairs, register_fasta, register_fastq, register_sam, register_bam, register_bcf, register_bigwig, register_bigbed = (
-    _registrar(k) for k in "bed vcf gff gtf pairs fasta fastq sam bam bcf bigwig bigbed".split()
+register_bed, register_vcf, register_gff, register_gtf, register_pairs, register_fasta, register_fastq, register_sam, register_bam, register_bcf, register_bgen, register_bigwig, register_bigbed = (
+    _registrar(k) for k in "bed vcf gff gtf pairs fasta fastq sam bam bcf bgen bigwig bigbed".split()
 )
 
 

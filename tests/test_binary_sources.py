@@ -116,3 +116,67 @@ def test_bigbed(spark, tmp_path):
     assert lf.read_bigbed(spark, p, schema="rest").columns == ["chrom", "start", "end", "rest"]
     lf.register_bigbed(spark, p, "bb")
     assert lf.sql(spark, "select count(*) as n from bb where chrom = 'chr1' and start >= 10").first()["n"] == 1
+
+
+def bgen_file(path, compressed, samples=True):
+    def variant(rsid, chrom, pos, alleles, body):
+        head = b"".join(struct.pack("<H", len(x)) + x.encode() for x in ("id" + rsid, rsid, chrom)) + struct.pack("<IH", pos, len(alleles)) + b"".join(struct.pack("<I", len(a)) + a.encode() for a in alleles)
+        data = struct.pack("<I", len(body)) + zlib.compress(body) if compressed else body
+        return head + struct.pack("<I", len(data)) + data
+
+    def body(k, ploidy, phased, bits, numbers):
+        raw = "".join(format(x, f"0{bits}b")[::-1] for x in numbers)
+        raw += "0" * (-len(raw) % 8)
+        packed = bytes(int(raw[i : i + 8][::-1], 2) for i in range(0, len(raw), 8))
+        return struct.pack("<IHBB", len(ploidy), k, 2, 2) + bytes(ploidy) + bytes([phased, bits]) + packed
+
+    rows = [
+        variant("rs1", "1", 100, ["A", "G"], body(2, [2, 2, 0x82], 0, 8, [255, 0, 0, 255, 0, 0])), variant("rs2", "1", 200, ["AC", "G"], body(2, [2, 2, 2], 1, 4, [15, 0, 0, 0, 15, 15])),
+        variant("rs3", "2", 300, ["A", "G"], body(2, [2, 2, 2], 0, 16, [32768, 16384, 0, 0, 65535, 0])),
+    ]
+    names = b"".join(struct.pack("<H", len(x)) + x.encode() for x in ("s1", "s2", "s3"))
+    names = struct.pack("<II", 8 + len(names), 3) + names if samples else b""
+    head = struct.pack("<II", 20, 3) + struct.pack("<I", 3) + b"bgen" + struct.pack("<I", (1 if compressed else 0) | 2 << 2 | (1 << 31 if samples else 0))
+    with open(path, "wb") as f:
+        f.write(struct.pack("<I", 20 + len(names)) + head + names + b"".join(rows))
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_bgen(spark, tmp_path, compressed):
+    import sqlite3
+
+    p = str(tmp_path / "a.bgen")
+    bgen_file(p, compressed)
+    df = lf.read_bgen(spark, p)
+    a, b, c = df.orderBy("start").collect()
+    assert (a["chrom"], a["start"], a["end"], a["id"], a["rsid"], a["alleles"], a["phased"], a["bits"]) == ("1", 100, 100, "idrs1", "rs1", ["A", "G"], False, 8) and b["end"] == 201 and b["phased"]
+    assert a["genotypes"]["GP"] == [[1, 0, 0], [0, 1, 0], None] and a["genotypes"]["PLOIDY"] == [2, 2, 2]
+    assert b["genotypes"]["GP"] == [[1, 0, 0, 1], [0, 1, 0, 1], [1, 0, 1, 0]]
+    d = lf.read_bgen(spark, p, genotype_output="dosage", samples=["s3", "s1"]).orderBy("start").collect()
+    assert d[0]["genotypes"]["DS"] == [None, 0.0] and d[1]["genotypes"]["DS"] == [0.0, 1.0] and abs(d[2]["genotypes"]["DS"][1] - 0.75) < 1e-4
+    assert lf.read_bgen(spark, p, genotype_fields=[]).columns == ["chrom", "start", "end", "id", "rsid", "alleles"]
+    values, positions, names = lf.read_bgen_matrix(spark, p)
+    assert values.shape == (3, 3) and list(positions) == [100, 200, 300] and names == ["s1", "s2", "s3"] and values[1].tolist() == [1, 2, 0] and values[0, 2] != values[0, 2]
+    with pytest.raises(ValueError):
+        lf.read_bgen_matrix(spark, p, max_values=5)
+    with pytest.raises(ValueError):
+        lf.read_bgen(spark, p, samples=["none"])
+    from locusflow.sources.bgen import BgenHeader, Region, _read, offsets, variant_head
+
+    db = sqlite3.connect(p + ".bgi")
+    db.execute("create table Variant (chromosome text, position int, file_start_position int)")
+    with open(p, "rb") as f:
+        here = BgenHeader(p).first
+        for _ in range(3):
+            f.seek(here)
+            v = variant_head(f)
+            db.execute("insert into Variant values (?, ?, ?)", (v[2], v[3], here))
+            size = _read(f, "I")
+            here = f.tell() + size
+    db.commit()
+    db.close()
+    region = Region()
+    region.chroms = {"1"}
+    assert len(offsets(p, BgenHeader(p), region, False)) == 2
+    assert lf.read_bgen(spark, p).filter("chrom = '1' and start > 150").count() == 1
+    assert {r["property"] for r in lf.describe_bgen(spark, p).collect()} >= {"n_variants", "samples"}
