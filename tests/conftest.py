@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
+for _v in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # small matrices: more threads only wait for each other
+    os.environ.setdefault(_v, "1")
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, [os.environ.get("PYTHONPATH")])])
 
 
