@@ -3,8 +3,8 @@
 1. Texts are cut into subwords of a public vocabulary once; the ids are written to the shared folder.
 2. Subword counts of the whole corpus give the output classes: the most frequent subwords stand alone, the
    others share classes of about equal weight, within which a subword has its share of the class's count.
-3. The model (embeddings, positions, one causal attention layer, class softmax) is trained on every
-   ``RATE``-th window of every partition, so that what it sees grows with the corpus. Executors train in
+3. The model (embeddings, positions, one causal attention layer, class softmax) is trained on every window
+   of the corpus: each of the ``ROUNDS`` rounds takes the windows of its own residue. Executors train in
    rounds from common weights on their own windows; the weights are averaged in two steps, in groups on
    executors and then on the driver, so that the driver gets at most ``GROUPS`` copies.
 4. Every subword is scored exactly once: windows overlap by ``OVERLAP``, which serves as context only, and
@@ -28,7 +28,7 @@ from .common import arrow_map, byte_slices, materialize
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, OVERLAP, WIDTH, OWN, CLASSES, EMBEDDED = 64, 8, 16, 64, 96, 2048
-RATE, ROUNDS, BATCH, STEP, GROUPS, SEED = 24, 3, 64, 0.01, 64, 9
+ROUNDS, BATCH, STEP, GROUPS, SEED = 3, 64, 0.01, 64, 9
 _AT_ONCE = 64
 
 _encodings: dict[tuple[str, int], tiktoken.Encoding] = {}
@@ -162,7 +162,7 @@ def forward(p, x, mask, tape: dict | None = None) -> np.ndarray:
     np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     a *= mask
-    s = a.sum(axis=2, keepdims=True)
+    s = (a @ np.ones(window, a.dtype))[:, :, None]
     y = (a @ v) / s
     z = h + (y.reshape(-1, width) @ p["o"]).reshape(h.shape)
     if tape is not None:
@@ -178,21 +178,20 @@ def loss_and_gradients(p, x, target, keep, mask):
     width, rows = p["o"].shape[0], np.flatnonzero(keep.ravel())
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
     t = target.ravel()[rows]
-    loss = -np.log(logits[rows, t] + 1e-30).mean()
-    d = np.zeros_like(logits)
-    d[rows] = logits[rows]
-    d[rows, t] -= 1
-    d /= len(rows)
-    g = {"b": d.sum(axis=0), "c": tape["z"].reshape(-1, width).T @ d}
+    loss = -np.log(logits[rows, t] / total[rows] + 1e-30).mean()
+    d = logits
+    d *= (keep.ravel() / (total * len(rows))).astype(d.dtype)[:, None]
+    d[rows, t] -= d.dtype.type(1 / len(rows))
+    g = {"b": np.ones(len(d), d.dtype) @ d, "c": tape["z"].reshape(-1, width).T @ d}
     dz = (d @ p["c"].T).reshape(n, window, width)
     g["o"] = tape["y"].reshape(-1, width).T @ dz.reshape(-1, width)
     dy = (dz.reshape(-1, width) @ p["o"].T).reshape(n, window, width)
     a, q, k, v = tape["a"], tape["q"], tape["k"], tape["v"]
     dv = a.transpose(0, 2, 1) @ dy
     da = dy @ v.transpose(0, 2, 1)
-    da -= (da * a).sum(axis=2, keepdims=True)
+    da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
     da *= a
     da *= np.float32(1 / np.sqrt(width))
     dqkv = np.stack([da @ k, da.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * width)
@@ -207,8 +206,8 @@ def loss_and_gradients(p, x, target, keep, mask):
     return float(loss), g
 
 
-def _learn(p, batches, classes: Classes, turn: int, rate: int, step: float, window: int, overlap: int):
-    """Adam on every ``rate``-th window of a partition, from the ``turn``-th on; the new weights and the windows' number."""
+def _learn(p, batches, classes: Classes, turn: int, rounds: int, step: float, window: int, overlap: int):
+    """Adam on every ``rounds``-th window of a partition, from the ``turn``-th on; the new weights and the windows' number."""
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     mask, seen, used, n, held = _mask(window), 0, 0, 0, []
@@ -228,7 +227,7 @@ def _learn(p, batches, classes: Classes, turn: int, rate: int, step: float, wind
     for batch in batches:
         tokens, bounds = _flat(batch.column(0))
         text, first, skip = windows(tokens, bounds, window, overlap)
-        pick = np.flatnonzero((seen + np.arange(len(text))) % rate == turn % rate)
+        pick = np.flatnonzero((seen + np.arange(len(text))) % rounds == turn)
         if not seen and len(text) and not len(pick):
             pick = np.zeros(1, np.int64)  # at least one window of a partition that has any
         seen += len(text)
@@ -256,8 +255,9 @@ def _unpack(v: np.ndarray, like) -> dict[str, np.ndarray]:
     return out
 
 
-def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rate: int = RATE, rounds: int = ROUNDS, step: float = STEP, window: int = WINDOW, overlap: int = OVERLAP, groups: int = GROUPS) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` of training on executors and averaging by the windows each has used."""
+def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROUNDS, step: float = STEP, window: int = WINDOW, overlap: int = OVERLAP, groups: int = GROUPS) -> dict[str, np.ndarray]:
+    """Weights after ``rounds`` of training on executors and averaging by the windows each has used; the
+    rounds together use every window."""
     context = tokens.sparkSession.sparkContext
     p = init(classes.rows, classes.classes, prior, window=window)
     for turn in range(rounds):
@@ -265,7 +265,7 @@ def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rate: int = RA
 
         def run(batches, shared=shared, turn=turn):
             start, cls = shared.value
-            new, used = _learn(start, batches, cls, turn * (rate // rounds or 1), rate, step / (1 + turn), window, overlap)
+            new, used = _learn(start, batches, cls, turn, rounds, step / (1 + turn), window, overlap)
             if used:
                 yield pa.RecordBatch.from_arrays([pa.array([used], pa.int64()), pa.array([_pack(new)], pa.binary())], ["n", "w"])
 
@@ -304,7 +304,7 @@ def negative_log_likelihoods(tokens: np.ndarray, bounds: np.ndarray, p, classes:
     return out
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, rate: int = RATE, rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, rounds: int = ROUNDS) -> DataFrame:
     """Every text's ``n_tokens``, mean ``nll`` (nats a subword) and ``perplexity`` under a model of the corpus.
 
     One row for each row of the documents. A null or empty text has 0 subwords and null scores, and takes no
@@ -318,7 +318,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     count = counts(tokens, size)
     classes = make_classes(count)
     mass = np.bincount(classes.cls, count + 1.0, classes.classes)
-    p = train(tokens, classes, np.log(mass / mass.sum()), rate, rounds)
+    p = train(tokens, classes, np.log(mass / mass.sum()), rounds)
     shared = docs.sparkSession.sparkContext.broadcast((p, classes))
     schema = T.StructType([tokens.schema["id"], T.StructField("n", T.LongType()), T.StructField("nll", T.DoubleType())])
 

@@ -468,3 +468,25 @@ def test_scores_of_a_table(spark):
     usual = [got[k]["nll"] for k in range(6, 66)]
     assert max(usual) < got[66]["nll"]
     assert lm_score.lm_scores(odd.limit(0)).count() == 0
+
+
+def test_training_reads_every_window(spark, monkeypatch):
+    count, window = 200, 8
+    words = np.random.default_rng(4).integers(200, 250, (count, window)).astype(np.uint16)
+    words[:, 0] = np.arange(count)  # each text is one window, known by its first subword
+    classes = lm_score.make_classes(np.arange(250) + 1, own=200, classes=250, embedded=20)
+    tokens = spark.createDataFrame([(bytearray(t.tobytes()),) for t in words], "ids binary").coalesce(1)
+    seen, real = Counter(), lm_score.gather
+
+    def gather(*args):
+        x, target, keep = real(*args)
+        seen.update(target[:, 0].tolist())
+        return x, target, keep
+
+    def here(df, run, schema):
+        return df.sparkSession.createDataFrame([tuple(r.values()) for b in run(df.toArrow().to_batches(37)) for r in b.to_pylist()], schema)
+
+    monkeypatch.setattr(lm_score, "gather", gather)
+    monkeypatch.setattr(lm_score, "arrow_map", here)
+    lm_score.train(tokens, classes, np.zeros(250), window=window, overlap=3)
+    assert seen == Counter(range(count))
