@@ -2,15 +2,18 @@
 
 Chosen and rejected conversations of a pair are compared turn by turn. Their longest common prefix of equal
 turns (role and text) is rendered once as prompt; what follows becomes the two completions, each with the
-spans of its assistant turns as loss mask. All of it is built from JVM expressions; the one shuffle gathers
-the turns of a conversation.
+spans of its assistant turns as loss mask. All of it is built from JVM expressions. One shuffle gathers the
+turns of a conversation; where rejected conversations are made up, the last answers are also put in ranges of
+ids and written to the shared folder, so that no task holds all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: How a turn is rendered; the assistant's text and the end mark after it are what is learned.
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
@@ -83,14 +86,15 @@ def preferences_from_conversations(turns: DataFrame, id_col: str = "conv_id", tu
     """Preference pairs of a table that has no rejected conversations of its own.
 
     A conversation with an assistant turn is chosen; rejected is the same one with its last assistant turn
-    answered by the last assistant turn of the conversation with the next greater id (``id + 1``), without
-    what follows it. Conversations without such a neighbour, or whose neighbour has no assistant turn or
-    the same answer, make no pair. Result: the id and the columns of ``format_preferences``.
+    answered by the last assistant turn of the conversation with the next greater id whose last answer is
+    another one, without what follows it; ids may have gaps. Conversations without an assistant turn, or
+    with no other answer at a greater id, make no pair. Result: the id and the columns of
+    ``format_preferences``.
     """
     convs = gather(turns, id_col, turn_col, role_col, text_col)
     last = F.array_max(F.transform("turns", lambda x, i: F.when(x["role"] == "assistant", i)))
     convs = convs.withColumn("last", last).filter("last is not null")
-    other = convs.select((F.col("id") - 1).alias("id"), F.element_at("turns", F.col("last") + 1)["text"].alias("answer"))
+    other = _next_answers(convs.select("id", F.element_at("turns", F.col("last") + 1)["text"].alias("answer")))
     pairs = convs.join(other, "id").select(
         F.col("id").alias(id_col), F.col("turns").alias("chosen"),
         F.concat(F.slice("turns", 1, F.col("last")), F.array(F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("text")))).alias("rejected"),
@@ -98,7 +102,25 @@ def preferences_from_conversations(turns: DataFrame, id_col: str = "conv_id", tu
     return format_preferences(pairs, keep=(id_col,))
 
 
-#: The same, turn by turn, in DuckDB.
+def _next_answers(answers: DataFrame) -> DataFrame:
+    """``id`` and the ``answer`` of the next greater id that has another one than this id's."""
+    spark = answers.sparkSession
+    ranges = answers.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").withColumn("part", F.spark_partition_id())
+    back = Window.partitionBy("part").orderBy(F.desc("id"))
+    a = materialize(ranges, "answers").withColumn("after", F.lag("answer").over(back))
+    a = a.withColumn("next", F.last(F.when(F.col("after") != F.col("answer"), F.col("after")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    # a range's first answer and its first other one; from the last range to the first: the two that follow each
+    ends, follow = a.groupBy("part").agg(F.min_by("answer", "id").alias("one"), F.min_by("next", "id").alias("two")).orderBy(F.desc("part")).collect(), []
+    one = two = None
+    for r in ends:  # one row a range
+        follow.append((r["part"], one, two))
+        one, two = r["one"], r["two"] if r["two"] is not None else one if one != r["one"] else two
+    follow = F.broadcast(spark.createDataFrame(follow, "part int, one string, two string"))
+    found = F.coalesce("next", F.when(F.col("one") != F.col("answer"), F.col("one")).otherwise(F.col("two")))
+    return a.join(follow, "part").select("id", found.alias("answer")).filter("answer is not null")
+
+
+#: Turn by turn, in DuckDB; pairs only ids that follow without a gap, so it lacks the pairs across gaps.
 SQL = r"""
 with t as (select distinct conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null),
 n as (select *, row_number() over (partition by conv_id order by turn, role, text) as i from t),

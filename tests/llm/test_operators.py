@@ -140,6 +140,21 @@ def test_preferences(spark):
     assert preference.preferences_from_conversations(turns.limit(0)).count() == 0
 
 
+def test_preferences_across_gaps(spark):
+    rng = random.Random(11)
+    ids = sorted(rng.sample(range(-(10**12), 10**12), 60))
+    said = {k: None if n % 7 == 3 else "same" if 20 <= n < 45 else rng.choice("abc") for n, k in enumerate(ids)}
+    rows = [(k, 0, "user", "q") for k in ids] + [(k, 1, "assistant", t) for k, t in said.items() if t]
+    rng.shuffle(rows)
+    expected = {}
+    for n, k in enumerate(ids):
+        other = next((said[x] for x in ids[n + 1 :] if said[x] and said[x] != said[k]), None)
+        if said[k] and other:
+            expected[k] = f"<|assistant|>\n{other}<|end|>\n"
+    out = preference.preferences_from_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert len(out) == len(expected) and {r["conv_id"]: r["rejected_completion"] for r in out} == expected
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
