@@ -116,6 +116,12 @@ def test_cap_filters_recall_and_awkward(spark):
     assert cap_filters.near_duplicate_vectors(odd.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    vectors = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 0.0, 2.0, 0.0]), (5, [1.0, 0.0, 2.0, 0.0]), (6, [2.0]), (7, [3.0]), (8, [-1.0]), (9, [1.0] * 9)]
+    d = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    assert rows(cap_filters.near_duplicate_vectors(d)) == Counter([(1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (4, 5, 1.0), (6, 7, 1.0)])
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
