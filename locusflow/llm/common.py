@@ -71,7 +71,7 @@ def small_enough(df: DataFrame, rows: int = 1_000_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def join_small(left: DataFrame, right: DataFrame, on: str, how: str = "inner", rows: int = 1_000_000) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", rows: int = 1_000_000) -> DataFrame:
     """Join that broadcasts ``right`` when a count shows it has at most ``rows`` rows, else shuffles."""
     return left.join(F.broadcast(right) if small_enough(right, rows) else right, on, how)
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Edge tables up to this many rows (16 MB) are contracted in the driver, larger ones in rounds on the cluster.
+AT_ONCE = 1_000_000
+
 
 def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """One star step; ``edges`` has u > v. Links each neighbour to the least node about."""
@@ -20,12 +25,32 @@ def _to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], dict[int, int]]:
+    """Indices of the edges of a spanning forest, and every node's root (the least node of its component)."""
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return kept, {x: top(x) for x in list(parent)}
+
+
+def components(edges: DataFrame, a: str, b: str, at_once: int = AT_ONCE) -> DataFrame:
     """``node``, ``root`` for every node with an edge; root is the least node of its component.
 
     Edges with a null end or from a node to itself are ignored; repeated edges count once; no edges
     give an empty result. Large-star and small-star steps alternate until the edges form stars; the
-    edge count never grows, and each round is written to the shared folder.
+    edge count never grows, and each round is written to the shared folder. Up to ``at_once`` edges, by a
+    count, are contracted in the driver instead, with the same result.
     """
     e = materialize(
         edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
@@ -34,6 +59,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         "edges",
     )
 
+    if e.limit(at_once + 1).count() <= at_once:
+        t = e.toArrow()
+        _, root = forest(t.column("u").to_numpy(), t.column("v").to_numpy())
+        both = [pa.array(list(x), pa.int64()) for x in (root.keys(), root.values())]
+        return e.sparkSession.createDataFrame(pa.table(both, ["node", "root"]))
+
     def state(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))"))).first())
 
