@@ -14,6 +14,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def near_dedup_planted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicate_vectors(cap_filters.planted(table(spark, sf_dir, "embeddings")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -63,10 +67,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_lm_scoring": op10_lm_scoring,
+    "near_dedup_planted_copies": near_dedup_planted_copies,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": cap_filters.SQL,
+    "near_dedup_planted_copies": cap_filters.PLANTED_SQL,
     "op4_chat_formatting": preference.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
     "op8_suffix_array_dedup": suffix_dedup.SQL,
