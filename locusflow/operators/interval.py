@@ -1,6 +1,7 @@
 """Interval operators as DataFrame plans.
 
-Overlap is an equi-join on (contig, level, bin): the level follows from an interval's width, so that no
+A side that is small by a check of its size is broadcast as a sorted index and the other streams past it without a
+shuffle (``lookup``). Beyond that, overlap is an equi-join on (contig, level, bin): the level follows from an interval's width, so that no
 interval has more than a few bins, and of the bins that a pair shares one alone yields it, so that nothing
 is made distinct afterwards. Counts, coverage and neighbours are found by running sums along positions and
 equi-joins on ranks, without enumerating pairs. Rows with a null contig or position match nothing.
@@ -12,11 +13,17 @@ import math
 import warnings
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core import DEFAULT_COLS, bind, resolve, with_coordinate_system
 from ..plans.scan import Spread, running, spread
+from ..shipping import ship
+from . import lookup
 
 ALGORITHMS = ("Coitrees", "IntervalTree", "ArrayIntervalTree", "Lapper", "SuperIntervals")
 MAX_POSITION = 2**63 - 1
@@ -40,10 +47,38 @@ def _keyed(df: DataFrame, cols: Sequence[str], on: list[str], p: str) -> tuple[D
     old = df.columns
     out, names = _prefixed(df, p)
     at = {c: F.col(names[old.index(c)]) for c in old}
-    key = F.struct(at[cols[0]], *[at[c] for c in on]) if on else at[cols[0]]
+    some = at[cols[0]].isNotNull()
+    for c in on:
+        some &= at[c].isNotNull()
+    key = F.when(some, F.struct(at[cols[0]], *[at[c] for c in on])) if on else at[cols[0]]
     return out.withColumns({f"{p}c": key, f"{p}s": at[cols[1]].cast("long"), f"{p}e": at[cols[2]].cast("long")}), names, p
 
 
+class _Side:
+    """A keyed frame, and what the lookups need of it."""
+
+    def __init__(self, df: DataFrame, cols: Sequence[str], on: list[str], p: str):
+        self.df, self.names, _ = _keyed(df, cols, on, p)
+        self.fields = [T.StructField(n, f.dataType) for n, f in zip(self.names, df.schema)]
+        self.key = lookup.text_key([F.col(self.names[df.columns.index(c)]) for c in (cols[0], *on)])
+        self.s, self.e = F.col(f"{p}s"), F.col(f"{p}e")
+
+    def index(self, zero: bool, columns: bool = True) -> lookup.Index | None:
+        return lookup.collect(self.df, self.key, self.s, self.e, self.names if columns else [], not zero)
+
+    def stream(self, index: lookup.Index, fields: list[T.StructField], answer) -> DataFrame:
+        return lookup.stream(self.df, self.names, self.key, self.s, self.e, index, T.StructType(fields), answer)
+
+    def with_value(self, index: lookup.Index, name: str, value) -> DataFrame:
+        """The rows with one number each."""
+
+        def run(i, batch, c, s, e):
+            v = np.where(c >= 0, value(i, c, s, e), 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v)], [*batch.schema.names, name])
+
+        return self.stream(index, [*self.fields, T.StructField(name, T.LongType())], run)
+
+
 def _valid(df: DataFrame, p: str) -> DataFrame:
     return df.filter(f"{p}c is not null and {p}s is not null and {p}e is not null")
 
@@ -54,20 +89,23 @@ def _levels(*sides: tuple[DataFrame, str]) -> tuple[int, int]:
     for df, p in sides:
         w = df.select((F.col(f"{p}e") - F.col(f"{p}s")).alias("w"))
         widths = w if widths is None else widths.unionAll(w)
-    s = widths.agg(F.percentile_approx("w", 0.9, 1000).alias("p"), F.max("w").alias("m")).first()
-    size = max(1, s["p"] or 1)
-    most = max(1, s["m"] or 1)
-    return size, 1 + max(0, math.ceil(math.log(most / size, _FACTOR))) if most > size else 1
+    s = widths.agg(F.avg("w").alias("mean"), F.max("w").alias("most")).first()
+    size = max(1, math.ceil(2 * (s["mean"] or 0)))
+    most = max(1, s["most"] or 1)
+    # few bins a row while no interval is far wider than the mean
+    return size, 1 if most <= 16 * size else 1 + math.ceil(math.log(most / size, _FACTOR))
 
 
 def _binned(df: DataFrame, p: str, size: int, levels: int, strict: bool) -> DataFrame:
     """A row for each (level, bin) of an interval, from its own level up; ``<p>l`` own level, ``<p>f`` first bin."""
     s, e = F.col(f"{p}s"), F.greatest(F.col(f"{p}s"), F.col(f"{p}e") - (1 if strict else 0))
 
+    def whole(x, width):  # integers all along: rounds down below 0 too
+        return F.call_function("div", x - F.pmod(x, width), width)
+
     def bins(level):
-        width = F.lit(size * _FACTOR**level)
-        f = F.floor(s / width).cast("long")
-        return f, F.floor(e / width).cast("long")
+        width = F.lit(size * _FACTOR**level).cast("long")
+        return whole(s, width), whole(e, width)
 
     if levels == 1:
         f, last = bins(0)
@@ -98,7 +136,8 @@ def _pairs(a: DataFrame, b: DataFrame, strict: bool, how: str = "inner") -> Data
     x = _binned(a, "a", size, levels, strict).withColumnsRenamed({"__level": "alv", "__bin": "abn"})
     y = _binned(b, "b", size, levels, strict).withColumnsRenamed({"__level": "blv", "__bin": "bbn"})
     once = (F.col("alv") == F.greatest("al", "bl")) & (F.col("abn") == F.greatest("af", "bf"))
-    return x.join(y, (F.col("ac") == F.col("bc")) & (F.col("alv") == F.col("blv")) & (F.col("abn") == F.col("bbn")) & once & _meet(strict), how)
+    # neither side is known to be small: file sizes say nothing of rows after explode, so no broadcast by estimate
+    return x.join(y.hint("merge"), (F.col("ac") == F.col("bc")) & (F.col("alv") == F.col("blv")) & (F.col("abn") == F.col("bbn")) & once & _meet(strict), how)
 
 
 def overlap(
@@ -115,15 +154,31 @@ def overlap(
         raise ValueError("overlap_output is 'join' or 'left'")
     c1, c2 = bind(df1, cols1), bind(df2, cols2)
     zero = resolve((df1, c1), (df2, c2))
-    a, na, _ = _keyed(df1, c1, on, "a")
-    b, nb, _ = _keyed(df2, c2, on, "b")
+    left, right = _Side(df1, c1, on, "a"), _Side(df2, c2, on, "b")
+    a, na, b, nb = left.df, left.names, right.df, right.names
     if overlap_output == "left":
-        if distinct_output:
-            rows = _pairs(a.withColumn("__row", F.monotonically_increasing_id()), b.select("bc", "bs", "be"), zero, "left_semi").dropDuplicates(["__row"])
+        index = right.index(zero, False)
+        if index is not None:
+            pick = (lambda i, c, s, e: [np.flatnonzero(i.count(c, s, e) > 0)]) if distinct_output else (lambda i, c, s, e: (row for row, _ in i.pairs(c, s, e)))
+            rows = left.stream(index, left.fields, lambda i, batch, c, s, e: (batch.take(pa.array(row)) for row in pick(i, c, s, e)))
+        elif distinct_output:
+            # a row may meet in several bins: equal rows are counted beforehand, so that no row needs a number
+            rows = _pairs(a.groupBy(*na, "ac", "as", "ae").agg(F.count("*").alias("__n")), b.select("bc", "bs", "be"), zero, "left_semi").dropDuplicates(na)
+            rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
         else:
             rows = _pairs(a, b.select("bc", "bs", "be"), zero)
         return with_coordinate_system(rows.select(*[F.col(n).alias(o) for n, o in zip(na, df1.columns)]), zero, c1)
-    out = _pairs(a, b, zero).select(*[F.col(n).alias(o + suffixes[0]) for n, o in zip(na, df1.columns)], *[F.col(n).alias(o + suffixes[1]) for n, o in zip(nb, df2.columns)])
+    index, moving, still = right.index(zero), left, right
+    if index is None:
+        index, moving, still = left.index(zero), right, left
+
+    def join(i, batch, c, s, e):
+        for row, place in i.pairs(c, s, e):
+            x, y = batch.take(pa.array(row)), i.table.take(pa.array(place))
+            yield pa.RecordBatch.from_arrays([*x.columns, *y.columns], [*x.schema.names, *y.schema.names])
+
+    met = _pairs(a, b, zero) if index is None else moving.stream(index, [*moving.fields, *still.fields], join)
+    out = met.select(*[F.col(n).alias(o + suffixes[0]) for n, o in zip(na, df1.columns)], *[F.col(n).alias(o + suffixes[1]) for n, o in zip(nb, df2.columns)])
     out = with_coordinate_system(out, zero, [c + suffixes[0] for c in c1])
     return with_coordinate_system(out, zero, [c + suffixes[1] for c in c2])
 
@@ -164,6 +219,11 @@ def count_overlaps(
     zero = resolve((df1, c1), (df2, c2))
     if not naive_query:
         df1 = df1.select(*[F.col(c) for c in dict.fromkeys([*c1, *on])])
+    left = _Side(df1, c1, on, "a")
+    index = _Side(df2, c2, on, "b").index(zero, False)
+    if index is not None:
+        out = left.with_value(index, "count", lambda i, c, s, e: i.count(c, s, e))
+        return with_coordinate_system(out.toDF(*df1.columns, "count"), zero, c1)
     # 0-based: an end probe comes before starts at its place, a start probe after ends; 1-based the reverse
     order = {"e": 0, "b": 1, "s": 2} if zero else {"s": 0, "b": 1, "e": 2}
     real = F.when(F.col("empty"), 0).otherwise(1)
@@ -190,8 +250,12 @@ def coverage(df1: DataFrame, df2: DataFrame, suffixes: tuple[str, str] = ("", "_
     c1, c2 = bind(df1, cols1), bind(df2, cols2)
     zero = resolve((df1, c1), (df2, c2))
     shift = 0 if zero else 1
-    b, _, _ = _keyed(df2, c2, on, "b")
-    b = _valid(b, "b").select("bc", "bs", (F.col("be") + shift).alias("be")).filter("be > bs")
+    right = _Side(df2, c2, on, "b")
+    index = right.index(zero, False)
+    if index is not None:
+        out = _Side(df1, c1, on, "a").with_value(index, "coverage", lambda i, c, s, e: i.coverage(c, s, e))
+        return with_coordinate_system(out.toDF(*df1.columns, "coverage"), zero, c1)
+    b = _valid(right.df, "b").select("bc", "bs", (F.col("be") + shift).alias("be")).filter("be > bs")
     islands = _islands(b, "bc", "bs", "be", 0, True).groupBy("bc", "__island").agg(F.min("bs").alias("start"), F.max("be").alias("end"))
     islands = islands.select(*([F.col("bc").alias("chrom")] if not on else [F.col("bc").getField(_field(df2, c2, on, k)).alias(n) for k, n in enumerate(["chrom", *on])]), "start", "end")
     old = df1.columns
@@ -219,6 +283,52 @@ def _islands(df: DataFrame, contig: str, start: str, end: str, min_dist: int, st
     return running(df, contig, start, [*order, F.col("__new").desc()], s, {"__island": F.col("__new")})
 
 
+def _flow(code: np.ndarray, s: np.ndarray, e: np.ndarray, min_dist: int, strict: bool) -> np.ndarray:
+    """Where a new island begins, for rows in the order of contig number, start and end."""
+    low, width = int(e.min()), int(e.max() - e.min()) + 1
+    if width > 1 << 40 or int(code[-1]) > 1 << 20:
+        return np.ones(len(s), bool)
+    reach = np.maximum.accumulate(code * width + (e - low))[:-1] - code[:-1] * width + low
+    apart = s[1:] >= reach + min_dist if strict else s[1:] > reach + min_dist
+    return np.append(True, (code[1:] != code[:-1]) | apart)
+
+
+def _premerged(df: DataFrame, key: Column, min_dist: int, strict: bool) -> DataFrame:
+    """``ic``, ``is``, ``ie`` merged within each task before anything is shuffled, ``n`` rows into one.
+
+    Islands of parts of the rows, merged by the same rule, are the islands of all rows."""
+    d = df.select(key.alias("k"), "ic", "is", "ie")
+    schema = T.StructType([d.schema["ic"], *[T.StructField(x, T.LongType()) for x in ("is", "ie", "n")]])
+    ship(df.sparkSession)
+
+    def once(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("k", "ascending"), ("is", "ascending"), ("ie", "ascending")]).combine_chunks()
+        code = t["k"].combine_chunks().dictionary_encode()
+        code = code.indices if isinstance(code, pa.DictionaryArray) else code.chunk(0).indices
+        cut = np.flatnonzero(_flow(code.to_numpy().astype(np.int64), t["is"].to_numpy(), t["ie"].to_numpy(), min_dist, strict))
+        first = t.select(["k", "ic", "is"]).take(pa.array(cut))
+        return first.append_column("ie", pa.array(np.maximum.reduceat(t["ie"].to_numpy(), cut))).append_column("n", pa.array(np.add.reduceat(t["n"].to_numpy(), cut)))
+
+    def run(batches):
+        held: list[pa.Table] = []
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                held.append(t.append_column("n", pa.array(np.ones(len(t), np.int64))))
+                rows += len(t)
+            if rows >= 1 << 18:
+                held = [once(pa.concat_tables(held))]
+                rows = len(held[0])
+                if rows >= 1 << 17:  # it hardly shrinks: hand it on
+                    yield from held[0].select(["ic", "is", "ie", "n"]).to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from once(pa.concat_tables(held)).select(["ic", "is", "ie", "n"]).combine_chunks().to_batches()
+
+    return d.mapInArrow(run, schema)
+
+
 def merge(df: DataFrame, min_dist: int = 0, cols: Sequence[str] | None = None, on_cols: Sequence[str] | None = None) -> DataFrame:
     """Unions of intervals that overlap or lie within ``min_dist``: contig, start, end and ``n_intervals``.
 
@@ -228,8 +338,14 @@ def merge(df: DataFrame, min_dist: int = 0, cols: Sequence[str] | None = None, o
     zero = resolve((df, c))
     if min_dist < 0:
         raise ValueError("min_dist >= 0 is needed")
-    k = _valid(df.select(*[F.col(x) for x in on], F.struct(c[0], *on).alias("ic"), F.col(c[0]).alias("__c"), F.col(c[1]).cast("long").alias("is"), F.col(c[2]).cast("long").alias("ie")), "i").filter("__c is not null")
-    out = _islands(k, "ic", "is", "ie", min_dist, zero).groupBy("ic", "__island").agg(F.min("is").alias("s"), F.max("ie").alias("e"), F.count("*").alias("n_intervals"))
+    k = _valid(df.select(*[F.col(x) for x in on], F.struct(c[0], *on).alias("ic"), F.col(c[0]).alias("__c"), F.col(c[1]).cast("long").alias("is"), F.col(c[2]).cast("long").alias("ie")), "i")
+    some = F.col("__c").isNotNull()
+    for x in on:
+        some &= F.col(x).isNotNull()
+    k = k.filter(some)
+    s = spread(k, "ic", "is")
+    k = _premerged(k, lookup.text_key([F.col("__c"), *[F.col(x) for x in on]]), min_dist, zero)
+    out = _islands(k, "ic", "is", "ie", min_dist, zero, s).groupBy("ic", "__island").agg(F.min("is").alias("s"), F.max("ie").alias("e"), F.sum("n").alias("n_intervals"))
     out = out.select(F.col("ic").getField(c[0]).alias(c[0]), *[F.col("ic").getField(x).alias(x) for x in on], F.col("s").alias(c[1]), F.col("e").alias(c[2]), "n_intervals")
     return with_coordinate_system(out, zero, c)
 
@@ -241,13 +357,23 @@ def cluster(df: DataFrame, min_dist: int = 0, cols: Sequence[str] | None = None)
     zero = resolve((df, c))
     if min_dist < 0:
         raise ValueError("min_dist >= 0 is needed")
-    d, names, _ = _keyed(df, c, [], "i")
-    good = _islands(_valid(d, "i"), "ic", "is", "ie", min_dist, zero)
-    w = Window.partitionBy("ic", "__island")
+    side = _Side(df, c, [], "i")
+    d, names = side.df, side.names
+    valid = _valid(d, "i")
+    s = spread(valid, "ic", "is")
+    parts = _premerged(valid, side.key, min_dist, zero)
+    islands = _islands(parts, "ic", "is", "ie", min_dist, zero, s).groupBy("ic", "__island").agg(F.min("is").alias("cs"), F.max("ie").alias("ce"))
+    few = islands.select(F.col("ic").cast("string").alias("k"), "cs", "ce").limit(lookup.MAX_ROWS + 1).toArrow()  # three short columns
+    if len(few) <= lookup.MAX_ROWS and (lasting := _Clusters(few)).fits:
+        fields = [*side.fields, *[T.StructField(x, T.LongType()) for x in ("cluster", "cluster_start", "cluster_end")]]
+        return with_coordinate_system(side.stream(lasting, fields, _Clusters.answer).toDF(*df.columns, *[f.name for f in fields[-3:]]), zero, c)
+    good = _islands(valid, "ic", "is", "ie", min_dist, zero, s)
+    # bounds by an aggregation and a join, which splits a hot island, instead of a window, which doesn't
+    bounds = islands.select(F.col("ic").alias("__kc"), F.col("__island").alias("__ki"), "cs", "ce")
     # the clusters of the contigs before: one row a contig
     per = good.groupBy("ic").agg(F.max("__island").alias("n"))
     offset = per.select(F.col("ic").alias("__k"), F.coalesce(F.sum("n").over(Window.orderBy("ic").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    good = good.withColumns({"cs": F.min("is").over(w), "ce": F.max("ie").over(w)}).join(offset, F.col("ic") == F.col("__k"))
+    good = good.join(bounds, (F.col("ic") == F.col("__kc")) & (F.col("__island") == F.col("__ki"))).join(offset, F.col("ic") == F.col("__k"))
     keep = [F.col(n).alias(o) for n, o in zip(names, df.columns)]
     out = good.select(*keep, (F.col("__o") + F.col("__island") - 1).cast("long").alias("cluster"), F.col("cs").alias("cluster_start"), F.col("ce").alias("cluster_end"))
     null = F.lit(None).cast("long")
@@ -255,10 +381,40 @@ def cluster(df: DataFrame, min_dist: int = 0, cols: Sequence[str] | None = None)
     return with_coordinate_system(out.unionAll(rest), zero, c)
 
 
+class _Clusters:
+    """Islands in order, and the island of a row."""
+
+    def __init__(self, t: pa.Table):
+        t = t.sort_by([("k", "ascending"), ("cs", "ascending"), ("ce", "ascending")]).combine_chunks()
+        self.keys = t["k"].unique()
+        code = pc.index_in(t["k"], self.keys).to_numpy().astype(np.int64) if len(t) else np.zeros(0, np.int64)
+        self.cs, self.ce = t["cs"].to_numpy(), t["ce"].to_numpy()
+        self.low = int(self.cs.min()) if len(t) else 0
+        self.width = (int(self.cs.max()) - self.low if len(t) else 0) + 3
+        self.fits = self.width < 1 << 40 and len(self.keys) < 1 << 21
+        self.start = code * self.width + (self.cs - self.low + 1) if self.fits else self.cs
+
+    def codes(self, k: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(k, self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def answer(self, batch, c, s, e):
+        none = c < 0
+        if len(self.cs):
+            i = np.maximum(np.searchsorted(self.start, c * self.width + np.clip(s - self.low + 1, 0, self.width - 1), "right") - 1, 0)
+            # an empty row at the place where an island begins is an island of its own before that one
+            i -= (s == e) & (i > 0) & (self.start[np.maximum(i - 1, 0)] == self.start[i])
+            found = (i, self.cs[i], self.ce[i])
+        else:
+            found = (np.zeros(len(c), np.int64),) * 3
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64(), mask=none) for x in found]], [*batch.schema.names, "cluster", "cluster_start", "cluster_end"])
+
+
 def _gaps(df: DataFrame, contig: str, start: str, end: str) -> DataFrame:
     """Half-open gaps between the islands of half-open intervals, before the first and after the last included:
     contig, ``gs``, ``ge`` (null: without bound)."""
-    i = _islands(df, contig, start, end, 0, True)
+    s = spread(df, contig, start)
+    df = _premerged(df.select(F.col(contig).alias("ic"), F.col(start).alias("is"), F.col(end).alias("ie")), F.col("ic").cast("string"), 0, True).select(F.col("ic").alias(contig), F.col("is").alias(start), F.col("ie").alias(end))
+    i = _islands(df, contig, start, end, 0, True, s)
     inner = i.filter((F.col("__new") == 1) & (F.col("__reach").isNull() | (F.col("__reach") < F.col(start)))).select(contig, F.col("__reach").alias("gs"), F.col(start).alias("ge"))
     tail = df.groupBy(contig).agg(F.max(end).alias("gs")).select(contig, "gs", F.lit(None).cast("long").alias("ge"))
     return inner.unionAll(tail)
@@ -293,8 +449,22 @@ def subtract(df1: DataFrame, df2: DataFrame, cols1: Sequence[str] | None = None,
     c1, c2 = bind(df1, cols1), bind(df2, cols2)
     zero = resolve((df1, c1), (df2, c2))
     shift = 0 if zero else 1
-    a, names, _ = _keyed(df1, c1, [], "a")
-    a = a.withColumn("ae", F.col("ae") + shift).filter("ae > as")
+    left = _Side(df1, c1, [], "a")
+    a, names = left.df.withColumn("ae", F.col("ae") + shift).filter("ae > as"), left.names
+    index = _Side(df2, c2, [], "b").index(zero, False)
+    if index is not None:
+        left.df = _valid(a, "a")
+        at = [df1.columns.index(c) for c in c1[1:]]
+
+        def leave(i, batch, c, s, e):
+            row, s, e = i.parts(c, s, e)
+            columns = batch.take(pa.array(row)).columns
+            for k, v in zip(at, (s, e - shift)):
+                columns[k] = pa.array(v)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+        fields = [T.StructField(f.name, T.LongType()) if k in at else f for k, f in enumerate(left.fields)]
+        return with_coordinate_system(left.stream(index, fields, leave).toDF(*df1.columns), zero, c1)
     b = df2.select(F.col(c2[0]).alias("ic"), F.col(c2[1]).cast("long").alias("is"), (F.col(c2[2]).cast("long") + shift).alias("ie"))
     b = _valid(b, "i").filter("ie > is")
     bounds = a.agg(F.min("as").alias("lo"), F.max("ae").alias("hi")).first()
@@ -323,8 +493,23 @@ def nearest(
         raise ValueError("k >= 1 is needed")
     c1, c2 = bind(df1, cols1), bind(df2, cols2)
     zero = resolve((df1, c1), (df2, c2))
-    a, na, _ = _keyed(df1, c1, on, "a")
-    b, nb, _ = _keyed(df2, c2, on, "b")
+    left, right = _Side(df1, c1, on, "a"), _Side(df2, c2, on, "b")
+    a, na, b, nb = left.df, left.names, right.df, right.names
+    index = right.index(zero)
+    if index is not None:
+
+        def join(i, batch, c, s, e):
+            some, none = np.flatnonzero(c >= 0), np.flatnonzero(c < 0)
+            row, place, far = i.nearest(c[some], s[some], e[some], k, overlap)
+            lone = np.append(none, some[np.setdiff1d(np.arange(len(some)), row)])
+            rows, no = np.append(some[row], lone), np.append(np.zeros(len(row), bool), np.ones(len(lone), bool))
+            place, far = (np.append(x, np.zeros(len(lone), np.int64)) for x in (place, far))
+            x = batch.take(pa.array(rows))
+            y = [col.take(pa.array(place, mask=no)) for col in i.table.columns]
+            yield pa.RecordBatch.from_arrays([*x.columns, *y, pa.array(far, pa.int64(), mask=no)], [*x.schema.names, *nb, "distance"])
+
+        out = left.stream(index, [*left.fields, *right.fields, T.StructField("distance", T.LongType())], join)
+        return _neighbours(out, df1, df2, na, nb, suffixes, distance, zero, c1, c2)
     # equal rows have equal neighbours: one of each is searched for, so that the row itself is its identity
     a = a.groupBy(*na, "ac", "as", "ae").agg(F.count("*").alias("__times")).withColumn("__id", F.sha2(F.to_json(F.struct(*na), {"ignoreNullFields": "false"}), 256))
     av, bv = _valid(a, "a"), _valid(b, "b")
@@ -357,6 +542,10 @@ def nearest(
     near = near.withColumn("__k", F.row_number().over(Window.partitionBy("__id").orderBy("distance", "bs", "be", *nb))).filter(F.col("__k") <= k)
     near = near.select(F.col("__id").alias("__i"), *nb, "distance")
     out = a.join(near, F.col("__id") == F.col("__i"), "left").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return _neighbours(out, df1, df2, na, nb, suffixes, distance, zero, c1, c2)
+
+
+def _neighbours(out: DataFrame, df1, df2, na, nb, suffixes, distance: bool, zero: bool, c1, c2) -> DataFrame:
     out = out.select(*[F.col(n).alias(o + suffixes[0]) for n, o in zip(na, df1.columns)], *[F.col(n).alias(o + suffixes[1]) for n, o in zip(nb, df2.columns)], *(["distance"] if distance else []))
     out = with_coordinate_system(out, zero, [c + suffixes[0] for c in c1])
     return with_coordinate_system(out, zero, [c + suffixes[1] for c in c2])
