@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .core import with_coordinate_system
 from .functions.depth import depth
-from .functions.fastqc import fastqc_tidy
+from .functions.fastqc import fastqc, fastqc_tidy
 from .queries import _VIEWS, iv_a, iv_b
 from .scratch import folder
 from .sources import bam, fastq, sinks, text
@@ -121,7 +121,7 @@ def sam_round_trip(spark, d):
 def bam_round_trip(spark, d):
     path = folder(spark, "a") + ".bam"
     bam.write_bam(_alignments(spark, d), path, sort_on_write=True)
-    return bam.read_bam(spark, path, ["NM"]).filter("chrom = 'S1' or start > 1000").select("name", "chrom", "start", "end", "flags", "cigar", "mapping_quality", "NM")
+    return bam.read_bam(spark, path, ["NM"]).select("name", "chrom", "start", "end", "flags", "cigar", "mapping_quality", "NM")
 
 
 def depth_blocks(spark, d):
@@ -136,6 +136,48 @@ def _qc(*modules):
     return q
 
 
+_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def _flowcell(spark, d) -> str:
+    """A FASTQ file with tiles, copies, adapters and enriched 7-mers, in the order of the table's keys."""
+    li = _table(spark, d, "lineitem")
+    acgt = lambda c: F.translate(F.md5(c), "0123456789abcdef", "ACGTACGTACGTACGT")
+    seq = F.substring(acgt(F.concat(F.col("l_suppkey") % 50, F.lit("_"), F.when(F.col("l_linenumber") == 1, F.col("l_orderkey")).otherwise(0))), F.lit(1), (F.col("l_quantity").cast("int") % 13 + 20))
+    seq = F.when(F.col("l_linenumber") == 2, F.concat(seq, F.lit("AGATCGGAAGAGC"))).otherwise(seq)
+    qual = F.translate(F.md5(F.col("l_orderkey").cast("string")), "0123456789abcdef", "!#+59:;<=>?@ABCD")
+    r = li.select(
+        *_ORDER, F.concat(F.lit("M:1:F:1:"), F.col("l_suppkey") % 3 + 1101, F.lit(":1:"), F.col("l_orderkey"), F.lit("_"), F.col("l_linenumber")).alias("name"), F.lit("x").alias("description"),
+        seq.alias("sequence"), F.substring(F.concat(qual, qual), F.lit(1), F.length(seq)).alias("quality_scores"),
+    )
+    path = folder(spark, "flowcell") + ".fastq.gz"
+    sinks.write_fastq(r.orderBy(*_ORDER).drop(*_ORDER), path)
+    return path
+
+
+_FLOWCELL = f"""with r0 as (select row_number() over (order by {', '.join(_ORDER)}) - 1 as i, l_suppkey % 3 + 1101 as tile,
+substr(translate(md5((l_suppkey % 50) || '_' || (case when l_linenumber = 1 then l_orderkey else 0 end)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, (l_quantity::int % 13 + 20)::int) || case when l_linenumber = 2 then 'AGATCGGAAGAGC' else '' end as s,
+translate(md5(l_orderkey::varchar), '0123456789abcdef', '!#+59:;<=>?@ABCD') as q from lineitem), r as (select i, tile, s, substr(q || q, 1, length(s)) as q from r0)"""
+
+
+def _flowcell_module(module):
+    def q(spark, d):
+        t = fastqc(spark, _flowcell(spark, d), [module]).tidy.filter("metric <> 'status'")
+        return t.select("module", "label", F.col("position").cast("long").alias("position"), "metric", F.round("value", 6).alias("value"), "value_str")
+
+    return q
+
+
+def sql_fastqc(spark, d):
+    return run_sql(spark, f"select metric, value from fastqc('{_flowcell(spark, d)}', ['basic_stats']) where metric <> 'status'")
+
+
+def sql_depth(spark, d):
+    path = folder(spark, "a") + ".bam"
+    bam.write_bam(_alignments(spark, d), path, sort_on_write=True)
+    return run_sql(spark, f"select contig, cast(pos_start as bigint) as pos_start, cast(pos_end as bigint) as pos_end, cast(coverage as bigint) as coverage from depth('{path}', true)")
+
+
 def sql_functions(spark, d):
     iv_a(spark, d).createOrReplaceTempView("lf_a")
     iv_b(spark, d).createOrReplaceTempView("lf_b")
@@ -145,12 +187,44 @@ def sql_functions(spark, d):
 QUERIES: dict[str, Query] = {
     "read_bed": bed, "read_table_bed6": table_bed6, "read_gff": gff, "read_gtf": gtf, "read_pairs": pairs, "vcf_round_trip": vcf, "fastq_round_trip": fastq_round_trip, "fasta_round_trip": fasta_round_trip,
     "sam_round_trip": sam_round_trip, "bam_round_trip": bam_round_trip, "depth": depth_blocks, "fastqc_basic_stats": _qc("basic_stats"), "fastqc_per_base_quality": _qc("per_base_quality"), "fastqc_per_base_n": _qc("per_base_n"),
+    "sql_fastqc": sql_fastqc, "sql_depth": sql_depth, **{f"fastqc_{m}": _flowcell_module(m) for m in ("per_base_content", "per_seq_gc", "overrepresented", "adapter_content", "dup_levels", "per_tile_quality", "kmer_content")},
     "fastqc_seq_length": _qc("seq_length"), "fastqc_per_seq_quality": _qc("per_seq_quality"), "sql_count_overlaps": sql_functions,
 }
 
 _BASES = f"with r as ({_READS}), p as (select sequence, quality_scores, unnest(range(1, length(sequence) + 1)) as i from r), b as (select i, substr(sequence, i, 1) as c, ascii(substr(quality_scores, i, 1)) - 33 as q from p)"
 
+_POSITIONS = f"{_FLOWCELL}, b as (select i, tile, p, substr(s, p, 1) as c, ascii(substr(q, p, 1)) - 33 as v from (select *, unnest(range(1, length(s) + 1)) as p from r))"
+
+
+def _tidy(module: str, rows: str, label: str = "null::varchar", position: str = "null::bigint", metric: str = "metric", value: str = "value", text: str = "null::varchar") -> str:
+    return f"select '{module}' as module, {label} as label, {position} as position, {metric} as metric, round({value}, 6)::double as value, {text} as value_str from {rows}"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "sql_fastqc": f"""{_FLOWCELL}, s as (select count(*)::double as n_seq, sum(length(s))::double as total_bases, min(length(s))::double as min_len, max(length(s))::double as max_len,
+(sum(length(regexp_replace(s, '[AT]', '', 'g'))) * 100.0::double / sum(length(s)))::double as gc_pct from r) select metric, value from s unpivot (value for metric in (n_seq, total_bases, min_len, max_len, gc_pct))""",
+    "fastqc_per_base_content": f"""{_POSITIONS}, c as (select p, count(*) filter (c = 'G') * 100.0::double / count(*) as "G", count(*) filter (c = 'A') * 100.0::double / count(*) as "A", count(*) filter (c = 'T') * 100.0::double / count(*) as "T", count(*) filter (c = 'C') * 100.0::double / count(*) as "C" from b group by p),
+u as (select * from c unpivot (value for metric in ("G", "A", "T", "C"))) {_tidy("per_base_content", "u", position="p::bigint")}""",
+    "fastqc_per_seq_gc": f"""{_FLOWCELL}, h as (select length(s) as n, length(regexp_replace(s, '[AT]', '', 'g')) as g, count(*) as k from r group by 1, 2), l as (select distinct n from h),
+m as (select n, g, unnest(range(floor(greatest(g - 0.5, 0) * 100.0::double / n + 0.5)::bigint, floor(least(g + 0.5, n) * 100.0::double / n + 0.5)::bigint + 1)) as p from (select n, unnest(range(0, n + 1)) as g from l)),
+w as (select n, p, count(*) as claims from m group by 1, 2), c as (select p, sum(k * 1.0::double / claims) as v from h join m using (n, g) join w using (n, p) group by p),
+a as (select t.p, coalesce(v, 0) as v from (select unnest(range(0, 101)) as p) t left join c using (p)) {_tidy("per_seq_gc", "a", position="p::bigint", metric="'count'", value="v")}""",
+    "fastqc_overrepresented": f"""{_FLOWCELL}, k as (select s as key, count(*) as n, count(*) * 100.0::double / (select count(*) from r) as pct from (select upper(substr(s, 1, 50)) as s from r) group by 1), o as (select * from k where pct > 0.1)
+{_tidy("overrepresented", "o", label="key", metric="'count'", value="n")} union all {_tidy("overrepresented", "o", label="key", metric="'pct'", value="pct")} union all {_tidy("overrepresented", "o", label="key", metric="'source'", value="null::double", text="'No Hit'")}""",
+    "fastqc_adapter_content": f"""{_FLOWCELL}, ad as (select unnest(['Illumina Universal Adapter', 'Illumina Small RNA 3'' Adapter', 'Illumina Small RNA 5'' Adapter', 'Nextera Transposase Sequence', 'PolyA', 'PolyG']) as a, unnest(['AGATCGGAAGAG', 'TGGAATTCTCGG', 'GATCGTCGGACT', 'CTGTCTCTTATA', repeat('A', 12), repeat('G', 12)]) as x),
+g as (select a, x, unnest(range(1, (select max(length(s)) - 10 from r))) as p from ad), h as (select a, instr(s, x) as f, count(*) as n from r, ad where instr(s, x) > 0 group by 1, 2),
+c as (select g.a, g.p, coalesce(sum(n), 0) * 100.0::double / (select count(*) from r) as v from g left join h on g.a = h.a and h.f <= g.p group by 1, 2) {_tidy("adapter_content", "c", label="a", position="p::bigint", metric="'pct'", value="v")}""",
+    "fastqc_dup_levels": f"""{_FLOWCELL}, k as (select substr(s, 1, 50) as key, count(*) as n from r group by 1), bin as (select unnest(['1','2','3','4','5','6','7','8','9','>10','>50','>100','>500','>1k','>5k','>10k+']) as b, unnest([1,2,3,4,5,6,7,8,9,10,51,101,501,1001,5001,10001]) as lo, unnest([1,2,3,4,5,6,7,8,9,50,100,500,1000,5000,10000,9999999999]) as hi),
+v as (select b, coalesce(sum(n), 0) * 100.0::double / (select count(*) from r) as v from bin left join k on n between lo and hi group by b) {_tidy("dup_levels", "v", label="b", metric="'pct'", value="v")}
+union all {_tidy("dup_levels", "(select (select count(*) from k) * 100.0::double / (select count(*) from r) as v)", metric="'total_dedup_pct'", value="v")}""",
+    "fastqc_per_tile_quality": f"""{_POSITIONS}, t as (select tile, p, avg(v) as m from b where i < 10000 or (i + 1) % 10 = 0 group by 1, 2), d as (select tile, p, m - avg(m) over (partition by p) as v from t)
+{_tidy("per_tile_quality", "d", label="tile::varchar", position="p::bigint", metric="'mean'", value="v")}""",
+    "fastqc_kmer_content": f"""{_FLOWCELL}, w as (select substr(s, p, 7) as k, p - 1 as p from (select s, unnest(range(1, length(s) - 5)) as p from r where (i + 1) % 50 = 0)), h as (select k, p, count(*) as n from w group by 1, 2),
+t as (select p, sum(n) as t from h group by 1), c as (select k, sum(n) as c from h group by 1), a as (select sum(t) as a from t),
+e as (select k, p, n, t, c, c / a as x, n / (c / a * t) as oe from h join t using (p) join c using (k), a where n / (c / a * t) > 5),
+y as (select k, p, n, t, any_value(x) as x, any_value(c) as c, any_value(oe) as oe, least(1, sum(exp(lgamma(t + 1) - lgamma(j + 1) - case when t = j then 0 else lgamma(t - j + 1) end + j * ln(x) + (t - j) * ln(1 - x)))) * 16384 as pv from (select *, unnest(range(n + 1, t::bigint + 1)) as j from e) group by 1, 2, 3, 4),
+z as (select k, c, p, oe, pv from y where pv < 0.01 union all select k, c, p, oe, 0 from e where n >= t), f as (select k, max(c) * 5 as cnt, max(oe) as oe, arg_min(p, (-oe, p)) + 1 as place, min(pv) as pv from z group by k)
+{_tidy("kmer_content", "f", label="k", metric="'count'", value="cnt")} union all {_tidy("kmer_content", "f", label="k", metric="'obs_exp_max'", value="oe")} union all {_tidy("kmer_content", "f", label="k", metric="'max_position'", value="place")} union all {_tidy("kmer_content", "f", label="k", metric="'pvalue'", value="pv")}""",
     "read_bed": f"{_VIEWS} select chrom, s + 1 as start, e as \"end\", 'n' || s as name from b",
     "read_table_bed6": f"{_VIEWS} select chrom, s as start, e as \"end\", 'x' as name, (e - s)::varchar as score, '+' as strand from a",
     "read_gff": f"{_VIEWS} select chrom, s + 1 as start, e as \"end\", 'gene' as type, 'src' as source, null::float as score, '+' as strand, null::int as phase, 'f' || s as \"ID\", 'a,b' as \"Note\", '1,2' as tag from b",
@@ -160,7 +234,7 @@ ORACLE_SQL: dict[str, str] = {
     "fastq_round_trip": _READS,
     "fasta_round_trip": f"select name, description, sequence from ({_READS})",
     "sam_round_trip": f"{_ALIGNED} select name, chrom, s + 1 as start, e as \"end\", flags, cigar, mapping_quality, NM from q",
-    "bam_round_trip": f"{_ALIGNED} select name, chrom, s + 1 as start, e as \"end\", flags, cigar, mapping_quality, NM from q where chrom = 'S1' or s + 1 > 1000",
+    "bam_round_trip": f"{_ALIGNED} select name, chrom, s + 1 as start, e as \"end\", flags, cigar, mapping_quality, NM from q",
     "depth": f"""{_ALIGNED}, v as (select chrom, s as x, 1 as d from q where flags = 0 and mapping_quality >= 5 union all select chrom, e, -1 from q where flags = 0 and mapping_quality >= 5),
 g as (select chrom, x, sum(d) as d from v group by 1, 2 having sum(d) <> 0), c as (select chrom, x, sum(d) over (partition by chrom order by x) as c, lead(x) over (partition by chrom order by x) as n from g)
 select chrom as contig, x::bigint as pos_start, n::bigint as pos_end, c::bigint as coverage from c where c > 0""",
@@ -176,3 +250,5 @@ select 'per_base_quality' as module, i::bigint as position, metric, value from s
     "fastqc_per_seq_quality": f"{_BASES.replace('unnest(', 'l_id, unnest(').replace('from r)', 'from (select *, row_number() over () as l_id from r))').replace('select i, substr', 'select l_id, i, substr')}, m as (select l_id, sum(q)::bigint // count(*) as m from b group by 1) select 'per_seq_quality' as module, m::bigint as position, 'count' as metric, count(*)::double as value from m group by m",
     "sql_count_overlaps": f"{_VIEWS}, c as (select a.chrom, (select count(*) from b where a.chrom = b.chrom and a.s < b.e and a.e > b.s) as n from a) select chrom, count(*) as n, sum(n)::bigint as pairs from c group by 1",
 }
+_DEPTH = ORACLE_SQL["depth"]
+ORACLE_SQL["sql_depth"] = _DEPTH.replace(" and mapping_quality >= 5", "")
