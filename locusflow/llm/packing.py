@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
+from .common import arrow_map, join_small, materialize
 
 CAPACITY = 2048
 
@@ -110,26 +110,27 @@ def _tightest(open_: np.ndarray, room: int, have: np.ndarray) -> tuple[int, int]
     return int(max(open_[best], other[best])), int(min(open_[best], other[best]))
 
 
-def _deal(shared, names):
+def _deal(shared):
     def run(batches):
         place = shared.value
         width = np.int64(1) << 40  # more than the pieces of one length
         key = place["length"] * width + place["rank"]
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            piece, length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("piece", "length", "rank"))
             at = np.searchsorted(key, length * width + rank, "right") - 1
             bins = place["bin"][at] + (rank - place["rank"][at]) // place["each"][at] if len(at) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(bins)], [*names, "bin"])
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(bins)], ["piece", "bin"])
 
     return run
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row a packed sequence: ``bin_id``, ``n_tokens``, ``n_pieces``, ``doc_ids`` and ``pieces``.
+    """One row a packed sequence: ``bin_id``, ``n_tokens``, ``n_pieces``, ``doc_ids``, ``pieces`` and ``text``.
 
     ``pieces`` is an array of (id, ``first_token``, ``n_tokens``), longest first, ties by id and first token;
-    ``doc_ids`` has their ids in the same order. Every token of every text is in exactly one piece, and no
-    sequence has more than ``capacity`` tokens. ``bin_id`` runs from 0 without holes.
+    ``doc_ids`` has their ids in the same order. ``text`` holds the sequence itself: the tokens of a piece with a space
+    between them, the pieces with a line feed between them, in the order of ``pieces``. Every token of every text is in
+    exactly one piece, and no sequence has more than ``capacity`` tokens. ``bin_id`` runs from 0 without holes.
 
     A null, empty or blank text has no token and is in no sequence. A null id is packed as null; repeated
     rows are packed each for itself. Other columns are not read. No rows, no sequences.
@@ -137,26 +138,25 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     if capacity < 1:
         raise ValueError("capacity >= 1 is needed")
     spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    # code that counts white-space runs without building the words
-    n = F.expr(r"size(split(trim(BOTH ' \t\n\r\f\u000B' FROM __t), '[ \\t\\n\\r\\f\\u000B]+'))")
-    d = docs.select(F.col(id_col).alias("id"), text.alias("__t")).filter(r"__t is not null and __t rlike '[^ \\t\\n\\r\\f\\u000B]'")
-    pieces = d.select("id", n.cast("long").alias("n"))
-    pieces = pieces.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("k"))
-    pieces = pieces.select("id", (F.col("k") * capacity).alias("first"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("k") * capacity).alias("length"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__t")).filter(r"__t is not null and __t rlike '[^ \\t\\n\\r\\f\\u000B]'")
+    d = d.select("id", F.expr(r"split(trim(BOTH ' \t\n\r\f\u000B' FROM __t), '[ \\t\\n\\r\\f\\u000B]+')").alias("w"))
+    starts = F.sequence(F.lit(0).cast("long"), F.size("w").cast("long") - 1, F.lit(capacity).cast("long"))
+    cut = F.transform(starts, lambda k: F.struct(k.alias("first"), F.least(F.lit(capacity).cast("long"), F.size("w") - k).alias("length"), F.array_join(F.slice("w", (k + 1).cast("int"), F.lit(capacity)), " ").alias("text")))
+    pieces = d.select("id", F.explode(cut).alias("p")).select("id", "p.first", "p.length", "p.text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = materialize(pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "first"), F.lit(buckets))), "pieces")
+    # numbered once, in the table that is written: a piece is found again by its number, whatever its id
+    pieces = materialize(pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "first"), F.lit(buckets))).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     cells = pieces.groupBy("length", "bucket").count()
     offsets = cells.withColumn("offset", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("offset", F.lit(0)).alias("offset"))
     histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     shared = spark.sparkContext.broadcast(best_two_fit(histogram, capacity).places())
-    ranked = pieces.withColumn("row", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "first")) - 1)
-    ranked = ranked.join(offsets, ["length", "bucket"]).select("id", "first", "length", (F.col("offset") + F.col("row")).alias("rank"))
-    names = ["id", "first", "length"]
-    dealt = arrow_map(ranked, _deal(shared, names), ranked.select(*names).withColumn("bin", F.lit(0).cast("long")).schema)
-    piece = F.struct((-F.col("length")).alias("o"), F.col("id"), F.col("first"), F.col("length"))
-    bins = dealt.groupBy("bin").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(piece)).alias("p"))
+    # ranks and bins from the narrow columns; the texts meet them by the piece's number and go to the bins once
+    ranked = pieces.select("piece", "id", "first", "length", "bucket").withColumn("row", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "first", "piece")) - 1)
+    ranked = ranked.join(offsets, ["length", "bucket"]).select("piece", "length", (F.col("offset") + F.col("row")).alias("rank"))
+    dealt = materialize(arrow_map(ranked, _deal(shared), "piece long, bin long"), "bins")
+    piece = F.struct((-F.col("length")).alias("o"), F.col("id"), F.col("first"), F.col("length"), F.col("text"))
+    bins = join_small(pieces, dealt, "piece").groupBy("bin").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(piece)).alias("p"))
     return bins.select(
         F.col("bin").alias("bin_id"), "n_tokens", F.size("p").alias("n_pieces"), F.col("p.id").alias(f"{id_col}s"),
-        F.transform("p", lambda x: F.struct(x["id"].alias(id_col), x["first"].alias("first_token"), x["length"].alias("n_tokens"))).alias("pieces"),
+        F.transform("p", lambda x: F.struct(x["id"].alias(id_col), x["first"].alias("first_token"), x["length"].alias("n_tokens"))).alias("pieces"), F.array_join("p.text", "\n").alias("text"),
     )

@@ -60,7 +60,7 @@ def format_preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_co
     Pairs that can't teach a preference are left out: a null conversation, equal conversations, and pairs
     where a completion has no assistant turn. A null turn within a conversation is skipped; null roles and
     texts are taken as ``user`` and empty. An empty common prefix gives an empty prompt. Repeated rows give
-    repeated results. No rows, no results.
+    repeated results. No rows, no results. ``keep`` may not name a column of the result.
     """
 
     def clean(c):
@@ -69,6 +69,9 @@ def format_preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_co
 
         return F.transform(F.filter(F.col(c), lambda x: x.isNotNull()), fill)
 
+    made = {"n_shared", "prompt", "chosen_completion", "chosen_mask", "rejected_completion", "rejected_mask"}
+    if clash := sorted(k for k in keep if k.lower() in made):
+        raise ValueError(f"keep names columns of the result: {', '.join(clash)}; rename them first")
     p = pairs.select(*[F.col(k) for k in keep], clean(chosen_col).alias("__c"), clean(rejected_col).alias("__r")).filter("__c is not null and __r is not null")
     # the first place at which they differ, or the shorter one's end
     differ = F.array_position(F.transform(F.arrays_zip(F.col("__c").alias("c"), F.col("__r").alias("r")), lambda z: ~z["c"].eqNullSafe(z["r"])), True)
@@ -120,15 +123,15 @@ def _next_answers(answers: DataFrame) -> DataFrame:
     return a.join(follow, "part").select("id", found.alias("answer")).filter("answer is not null")
 
 
-#: Turn by turn, in DuckDB; pairs only ids that follow without a gap, so it lacks the pairs across gaps.
+#: Turn by turn, in DuckDB.
 SQL = r"""
 with t as (select distinct conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null),
 n as (select *, row_number() over (partition by conv_id order by turn, role, text) as i from t),
 l as (select conv_id, max(i) as last from n where role = 'assistant' group by 1),
-a as (select n.conv_id - 1 as conv_id, text as answer from n join l on n.conv_id = l.conv_id and n.i = l.last),
-p as (select l.conv_id, l.last, a.answer, n.text <> a.answer as differs from l join a using (conv_id) join n on n.conv_id = l.conv_id and n.i = l.last),
+a as (select n.conv_id, text as answer from n join l on n.conv_id = l.conv_id and n.i = l.last),
+p as (select l.conv_id, l.last, arg_min(b.answer, b.conv_id) as answer from l join a using (conv_id) join a b on b.conv_id > a.conv_id and b.answer <> a.answer group by 1, 2),
 r as (select conv_id, i, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as s, length(role) + 5 as body from n),
-s as (select p.conv_id, r.i < p.last as shared, r.i, r.s, r.body, r.role from p join r using (conv_id) where differs),
+s as (select p.conv_id, r.i < p.last as shared, r.i, r.s, r.body, r.role from p join r using (conv_id)),
 c as (select *, sum(length(s)) over (partition by conv_id, shared order by i) - length(s) as pos from s)
 select p.conv_id, (p.last - 1)::int as n_shared,
   coalesce(string_agg(c.s, '' order by c.i) filter (c.shared), '') as prompt,
@@ -136,5 +139,5 @@ select p.conv_id, (p.last - 1)::int as n_shared,
   list({'start': (c.pos + c.body)::int, 'end': (c.pos + length(c.s) - 1)::int} order by c.i) filter (not c.shared and c.role = 'assistant') as chosen_mask,
   '<|assistant|>' || chr(10) || any_value(p.answer) || '<|end|>' || chr(10) as rejected_completion,
   [{'start': 14, 'end': (14 + length(any_value(p.answer)) + 7)::int}] as rejected_mask
-from p join c using (conv_id) where differs group by p.conv_id, p.last
+from p join c using (conv_id) group by p.conv_id, p.last
 """
