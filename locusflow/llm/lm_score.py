@@ -4,9 +4,10 @@
 2. Subword counts of the whole corpus give the output classes: the most frequent subwords stand alone, the
    others share classes of about equal weight, within which a subword has its share of the class's count.
 3. The model (embeddings, positions, one causal attention layer, class softmax) is trained on every window
-   of the corpus: each of the ``ROUNDS`` rounds takes the windows of its own residue. Executors train in
-   rounds from common weights on their own windows; the weights are averaged in two steps, in groups on
-   executors and then on the driver, so that the driver gets at most ``GROUPS`` copies.
+   of the corpus: each of the ``ROUNDS`` rounds takes the windows of its own residue. Texts are dealt to shards of
+   about ``SHARD_ROWS`` by a hash of id and content, and stand in a shard in order of both, so that what a learner
+   sees doesn't depend on how the table was partitioned. Executors train each shard from common weights; the
+   weights are averaged by task, in groups on executors and then on the driver, which gets at most ``GROUPS`` copies.
 4. Every subword is scored exactly once: windows overlap by ``OVERLAP``, which serves as context only, and
    thousands of windows go through masked attention at once.
 """
@@ -28,7 +29,7 @@ from .common import arrow_map, byte_slices, materialize
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, OVERLAP, WIDTH, OWN, CLASSES, EMBEDDED = 64, 8, 16, 64, 96, 2048
-ROUNDS, BATCH, STEP, GROUPS, SEED = 3, 64, 0.01, 64, 9
+ROUNDS, BATCH, STEP, GROUPS, SEED, SHARD_ROWS = 3, 64, 0.01, 64, 9, 4000
 _AT_ONCE = 64
 
 _encodings: dict[tuple[str, int], tiktoken.Encoding] = {}
@@ -43,32 +44,42 @@ def encoding(ranks: bytes, pattern: str = PATTERN) -> tiktoken.Encoding:
     return _encodings[key]
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """``id`` and ``ids`` (little-endian 16-bit, as binary; empty for a null text), written to the shared folder."""
+def tokenized(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN, size: int = 1 << 16, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``shard``, ``id`` and ``ids`` (little-endian, of ``kind(size)``, as binary; empty for a null text), written to the
+    shared folder shard by shard, each in order of id and content."""
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    dtype = kind(size)
 
     def run(batches):
         enc = encoding(shared.value, pattern)
         for batch in batches:
             for part in byte_slices(batch, 1):
-                ids = [np.array(enc.encode_ordinary(t), np.uint16) for t in part.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([2 * len(x) for x in ids])]).astype(np.int32)
+                ids = [np.array(enc.encode_ordinary(t), dtype) for t in part.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([x.nbytes for x in ids])]).astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(ids).tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(0), blob], ["id", "ids"])
 
-    return materialize(arrow_map(d, run, T.StructType([d.schema["id"], T.StructField("ids", T.BinaryType())])), "subwords")
+    shards = max(1, -(-docs.count() // shard_rows))
+    out = arrow_map(d, run, T.StructType([d.schema["id"], T.StructField("ids", T.BinaryType())]))
+    out = out.withColumn("shard", F.pmod(F.xxhash64("id", "ids"), F.lit(shards))).select("shard", "id", "ids")
+    return materialize(out.repartition(shards, "shard").sortWithinPartitions("shard", "id", "ids"), "subwords")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def kind(size: int) -> type:
+    """Of the numbers that a vocabulary of ``size`` needs."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def _flat(column: pa.Array, dtype: type = np.uint16) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch and the offsets of the texts."""
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     _, off, data = column.buffers()
-    o = np.frombuffer(off, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64)
+    o = np.frombuffer(off, wide, len(column) + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data is not None else np.zeros(0, np.uint8)
-    return np.frombuffer(raw.tobytes(), np.uint16), (o - o[0]) // 2
+    return np.frombuffer(raw.tobytes(), dtype), (o - o[0]) // np.dtype(dtype).itemsize
 
 
 def counts(tokens: DataFrame, size: int) -> np.ndarray:
@@ -77,7 +88,7 @@ def counts(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(_flat(batch.column(0))[0], minlength=size)
+            total += np.bincount(_flat(batch.column(0), kind(size))[0], minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["token", "n"])
 
@@ -207,15 +218,16 @@ def loss_and_gradients(p, x, target, keep, mask):
 
 
 def _learn(p, batches, classes: Classes, turn: int, rounds: int, step: float, window: int, overlap: int):
-    """Adam on every ``rounds``-th window of a partition, from the ``turn``-th on; the new weights and the windows' number."""
+    """Adam on every ``rounds``-th window of a shard, from the ``turn``-th on; the new weights and the windows' number.
+
+    Updates take ``BATCH`` windows each whatever the batches are."""
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    mask, seen, used, n, held = _mask(window), 0, 0, 0, []
+    mask, seen, used, n = _mask(window), 0, 0, 0
+    held: list[tuple] = []
 
-    def update():
-        nonlocal n, held
-        x, y, keep = (np.concatenate(c) for c in zip(*held))
-        held = []
+    def update(x, y, keep):
+        nonlocal n
         _, g = loss_and_gradients(p, x, y, keep, mask)
         n += 1
         lr = step * min(1, n / 10)
@@ -224,25 +236,42 @@ def _learn(p, batches, classes: Classes, turn: int, rounds: int, step: float, wi
             s[k] += 0.02 * (g[k] ** 2 - s[k])
             p[k] -= np.float32(lr / (1 - 0.9**n)) * m[k] / (np.sqrt(s[k] / (1 - 0.98**n)) + np.float32(1e-7))
 
-    for batch in batches:
-        tokens, bounds = _flat(batch.column(0))
+    for column in batches:
+        tokens, bounds = _flat(column, kind(len(classes.cls)))
         text, first, skip = windows(tokens, bounds, window, overlap)
         pick = np.flatnonzero((seen + np.arange(len(text))) % rounds == turn)
         if not seen and len(text) and not len(pick):
-            pick = np.zeros(1, np.int64)  # at least one window of a partition that has any
-        seen += len(text)
-        for k in range(0, len(pick), BATCH):
-            some = pick[k : k + BATCH]
+            pick = np.zeros(1, np.int64)  # at least one window of a shard that has any
+        seen, used, at = seen + len(text), used + len(pick), 0
+        while at < len(pick):
+            some = pick[at : at + BATCH - sum(len(h[0]) for h in held)]
             x, y, keep = gather(tokens, bounds, text[some], first[some], skip[some], classes, window)
             held.append((x, classes.cls[y], keep))
-            used += len(some)
-            if sum(len(h[0]) for h in held) >= BATCH:
-                update()
+            at += len(some)
+            if sum(len(h[0]) for h in held) == BATCH:
+                update(*(np.concatenate(c) for c in zip(*held)))
+                held = []
     if held:
-        update()
+        update(*(np.concatenate(c) for c in zip(*held)))
     return p, used
 
 
+def _by_shard(batches):
+    """(shard, its columns of ids one after the other) of batches that stand shard by shard."""
+    held, last = [], None
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(shard)]):
+            if held and shard[lo] != last:
+                yield last, held
+                held = []
+            last = shard[lo]
+            held.append(batch.column(1).slice(lo, hi - lo))
+    if held:
+        yield last, held
+
+
 def _pack(p) -> bytes:
     return np.concatenate([p[k].ravel() for k in _SHAPES]).astype(np.float64).tobytes()
 
@@ -265,9 +294,12 @@ def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rounds: int =
 
         def run(batches, shared=shared, turn=turn):
             start, cls = shared.value
-            new, used = _learn(start, batches, cls, turn, rounds, step / (1 + turn), window, overlap)
-            if used:
-                yield pa.RecordBatch.from_arrays([pa.array([used], pa.int64()), pa.array([_pack(new)], pa.binary())], ["n", "w"])
+            n, total, first = 0, 0.0, None
+            for shard, columns in _by_shard(batches):
+                new, used = _learn(start, columns, cls, turn, rounds, step / (1 + turn), window, overlap)
+                n, total, first = n + used, total + used * np.frombuffer(_pack(new), np.float64), shard if first is None else first
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], ["part", "n", "w"])
 
         def average(t):
             # in a fixed order, so that the sum doesn't depend on which task ended first
@@ -276,8 +308,8 @@ def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rounds: int =
             total = sum(k * np.frombuffer(w.as_buffer(), np.float64) for k, w in zip(n, t.column("w")))
             return pa.table({"group": t.column("group").slice(0, 1), "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([(total / n.sum()).tobytes()], pa.binary())})
 
-        parts = arrow_map(tokens.select("ids"), run, "n long, w binary").withColumn("part", F.spark_partition_id()).withColumn("group", F.col("part") % groups)
-        got = parts.groupBy("group").applyInArrow(average, "group int, n long, w binary").collect()  # ``groups`` rows at most
+        parts = arrow_map(tokens.select("shard", "ids"), run, "part long, n long, w binary").withColumn("group", F.col("part") % groups)
+        got = parts.groupBy("group").applyInArrow(average, "group long, n long, w binary").collect()  # ``groups`` rows at most
         if not got:
             break
         got.sort(key=lambda r: r["group"])
@@ -310,11 +342,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     One row for each row of the documents. A null or empty text has 0 subwords and null scores, and takes no
     part in training; a null id is reported as null; repeated rows have equal scores. Other columns are not
     read. Texts of any length are scored whole. An empty table gives an empty result. ``vocabulary`` is the
-    path of a rank file that the driver can read; it is broadcast.
+    path of a rank file that the driver can read; it is broadcast. Scores don't depend on the table's partitioning
+    or the order of its rows (but for the rounding of sums of weights).
     """
     with open(vocabulary, "rb") as f:
         size = max(int(line.split()[1]) for line in f if line.strip()) + 1
-    tokens = tokenized(docs, id_col, text_col, vocabulary, pattern)
+    tokens = tokenized(docs, id_col, text_col, vocabulary, pattern, size)
     count = counts(tokens, size)
     classes = make_classes(count)
     mass = np.bincount(classes.cls, count + 1.0, classes.classes)
@@ -327,9 +360,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids, bounds = _flat(part.column(1))
+                ids, bounds = _flat(part.column(1), kind(len(cls.cls)))
                 total, n = negative_log_likelihoods(ids, bounds, weights, cls), np.diff(bounds)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["id", "n", "nll"])
 
-    out = arrow_map(tokens, run, schema)
+    out = arrow_map(tokens.select("id", "ids"), run, schema)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.round("nll", 4).alias("nll"), F.round(F.exp("nll"), 3).alias("perplexity"))
