@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,63 +162,78 @@ def _mask(window: int) -> np.ndarray:
     return np.tril(np.ones((window, window), np.float32))
 
 
+def steady_heap() -> None:
+    """Keep freed arrays of this process in its heap: mapping each anew costs more than the arithmetic on them."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 28)  # from what size memory is mapped
+        libc.mallopt(-1, 1 << 28)  # how much may stay free
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def forward(p, x, mask, tape: dict | None = None) -> np.ndarray:
-    """Class logits (B * window, classes) for inputs (B, window)."""
+    """Class logits (B * window, classes), up to 60, for inputs (B, window)."""
     n, window = x.shape
     width = p["o"].shape[0]
-    h = p["e"][x] + p["p"]
-    qkv = (h.reshape(-1, width) @ p["w"]).reshape(n, window, 3, width)
-    q, k, v = (qkv[:, :, j] for j in range(3))
+    h = p["e"][x]
+    h += p["p"]
+    flat = h.reshape(-1, width)
+    w = p["w"].copy()
+    w[:, :width] *= np.float32(1 / np.sqrt(width))
+    q, k, v = ((flat @ w[:, j * width : (j + 1) * width]).reshape(n, window, width) for j in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / np.sqrt(width))
     np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     a *= mask
     s = (a @ np.ones(window, a.dtype))[:, :, None]
-    y = (a @ v) / s
-    z = h + (y.reshape(-1, width) @ p["o"]).reshape(h.shape)
+    y = a @ v
+    y /= s
+    z = y.reshape(-1, width) @ p["o"]
+    z += flat
     if tape is not None:
-        tape.update(h=h, q=q, k=k, v=v, a=a / s, y=y, z=z)
-    return z.reshape(-1, width) @ p["c"] + p["b"]
+        a /= s
+        tape.update(h=flat, q=q, k=k, v=v, a=a, y=y, z=z)
+    logits = z @ p["c"]
+    logits += p["b"]
+    return np.minimum(logits, 60, out=logits)
 
 
 def loss_and_gradients(p, x, target, keep, mask):
     """Mean class loss in nats over the positions kept, and the gradients."""
     tape: dict = {}
-    logits = forward(p, x, mask, tape)
+    d = forward(p, x, mask, tape)
     n, window = x.shape
     width, rows = p["o"].shape[0], np.flatnonzero(keep.ravel())
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    np.exp(d, out=d)
+    total = d @ np.ones(d.shape[1], d.dtype)
     t = target.ravel()[rows]
-    loss = -np.log(logits[rows, t] / total[rows] + 1e-30).mean()
-    d = logits
+    loss = -np.log(d[rows, t] / total[rows] + 1e-30).mean()
     d *= (keep.ravel() / (total * len(rows))).astype(d.dtype)[:, None]
     d[rows, t] -= d.dtype.type(1 / len(rows))
-    g = {"b": np.ones(len(d), d.dtype) @ d, "c": tape["z"].reshape(-1, width).T @ d}
-    dz = (d @ p["c"].T).reshape(n, window, width)
-    g["o"] = tape["y"].reshape(-1, width).T @ dz.reshape(-1, width)
-    dy = (dz.reshape(-1, width) @ p["o"].T).reshape(n, window, width)
-    a, q, k, v = tape["a"], tape["q"], tape["k"], tape["v"]
-    dv = a.transpose(0, 2, 1) @ dy
+    g = {"b": np.ones(len(d), d.dtype) @ d, "c": tape["z"].T @ d}
+    dz = d @ p["c"].T
+    a, q, k, v, y = (tape[c] for c in "aqkvy")
+    g["o"] = y.reshape(-1, width).T @ dz
+    dy = (dz @ p["o"].T).reshape(n, window, width)
     da = dy @ v.transpose(0, 2, 1)
-    da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
+    da -= np.einsum("nij,nij->ni", dy, y)[:, :, None]
     da *= a
-    da *= np.float32(1 / np.sqrt(width))
-    dqkv = np.stack([da @ k, da.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * width)
-    g["w"] = tape["h"].reshape(-1, width).T @ dqkv
-    dh = dz + (dqkv @ p["w"].T).reshape(n, window, width)
-    g["p"] = dh.sum(axis=0)
-    order = np.argsort(x.ravel(), kind="stable")
-    at = x.ravel()[order]
-    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    g["e"] = np.zeros_like(p["e"])
-    g["e"][at[cuts]] = np.add.reduceat(dh.reshape(-1, width)[order], cuts, axis=0)
+    dqkv = np.empty((n, window, 3 * width), d.dtype)
+    dqkv[:, :, :width] = da @ k
+    dqkv[:, :, :width] *= d.dtype.type(1 / np.sqrt(width))  # q holds the scale
+    dqkv[:, :, width : 2 * width] = da.transpose(0, 2, 1) @ q
+    dqkv[:, :, 2 * width :] = a.transpose(0, 2, 1) @ dy
+    dqkv = dqkv.reshape(-1, 3 * width)
+    g["w"] = tape["h"].T @ dqkv
+    dz += dqkv @ p["w"].T  # now the gradient of h
+    g["p"] = dz.reshape(n, window * width).sum(axis=0).reshape(window, width)
+    at, rows = x.ravel(), len(p["e"])
+    g["e"] = np.stack([np.bincount(at, column, rows) for column in np.ascontiguousarray(dz.T)], axis=1).astype(d.dtype)
     return float(loss), g
 
 
-def _learn(p, batches, classes: Classes, turn: int, rounds: int, step: float, window: int, overlap: int):
+def _learn(p, batches, classes: Classes, turn: int, rounds: int, step: float, window: int):
     """Adam on every ``rounds``-th window of a shard, from the ``turn``-th on; the new weights and the windows' number.
 
     Updates take ``BATCH`` windows each whatever the batches are."""
@@ -238,7 +254,7 @@ def _learn(p, batches, classes: Classes, turn: int, rounds: int, step: float, wi
 
     for column in batches:
         tokens, bounds = _flat(column, kind(len(classes.cls)))
-        text, first, skip = windows(tokens, bounds, window, overlap)
+        text, first, skip = windows(tokens, bounds, window, 0)  # nothing is learned twice, so no overlap
         pick = np.flatnonzero((seen + np.arange(len(text))) % rounds == turn)
         if not seen and len(text) and not len(pick):
             pick = np.zeros(1, np.int64)  # at least one window of a shard that has any
@@ -284,7 +300,7 @@ def _unpack(v: np.ndarray, like) -> dict[str, np.ndarray]:
     return out
 
 
-def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROUNDS, step: float = STEP, window: int = WINDOW, overlap: int = OVERLAP, groups: int = GROUPS) -> dict[str, np.ndarray]:
+def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROUNDS, step: float = STEP, window: int = WINDOW, groups: int = GROUPS) -> dict[str, np.ndarray]:
     """Weights after ``rounds`` of training on executors and averaging by the windows each has used; the
     rounds together use every window."""
     context = tokens.sparkSession.sparkContext
@@ -294,9 +310,10 @@ def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rounds: int =
 
         def run(batches, shared=shared, turn=turn):
             start, cls = shared.value
+            steady_heap()
             n, total, first = 0, 0.0, None
             for shard, columns in _by_shard(batches):
-                new, used = _learn(start, columns, cls, turn, rounds, step / (1 + turn), window, overlap)
+                new, used = _learn(start, columns, cls, turn, rounds, step / (1 + turn), window)
                 n, total, first = n + used, total + used * np.frombuffer(_pack(new), np.float64), shard if first is None else first
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], ["part", "n", "w"])
@@ -328,9 +345,8 @@ def negative_log_likelihoods(tokens: np.ndarray, bounds: np.ndarray, p, classes:
         logits = forward(p, x, mask)
         cls = classes.cls[y.ravel()]
         hit = logits[np.arange(len(cls)), cls]
-        np.minimum(logits, 60, out=logits)
         np.exp(logits, out=logits)
-        nll = np.log(logits @ one) - np.minimum(hit, 60) - classes.inside[y.ravel()]
+        nll = np.log(logits @ one) - hit - classes.inside[y.ravel()]
         nll *= keep.ravel()
         out += np.bincount(t, nll.reshape(x.shape).sum(axis=1, dtype=np.float64), len(out))
     return out
@@ -357,6 +373,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
 
     def run(batches):
         weights, cls = shared.value
+        steady_heap()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
