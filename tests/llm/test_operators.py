@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.llm import cap_filters, decontaminate, lm_score, nbsvm, ngram_join, packing, pii, preference, secret_scan, suffix_dedup
+from locusflow.llm import cap_filters, decontaminate, graph, lm_score, nbsvm, ngram_join, packing, pii, preference, secret_scan, suffix_dedup
 from locusflow.llm import synthetic as syn
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,37 +64,116 @@ def near_copies(rng, n, size=60):
     return out
 
 
-def test_ngram_join_against_brute_force(spark):
-    texts = near_copies(random.Random(1), 60) + ["A b", "a B", "c"]
+def linked(pairs):
+    """id -> (least id of its component, number of partners), from all pairs."""
+    partners, root = {}, {}
+    for i, j in pairs:
+        partners.setdefault(i, set()).add(j)
+        partners.setdefault(j, set()).add(i)
+    for i in sorted(partners):
+        if i not in root:
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if k not in root:
+                    root[k] = i
+                    todo += partners[k]
+    return {i: (root[i], len(p)) for i, p in partners.items()}
+
+
+def result(df):
+    return {r[0]: (r["class_id"], r["n_links"]) for r in df.collect()}
+
+
+def all_pairs(texts, threshold=ngram_join.THRESHOLD):
     sets = [grams(t) for t in texts]
-    want = {}
+    out = {}
     for i in range(len(texts)):
         for j in range(i + 1, len(texts)):
-            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-            if s >= ngram_join.THRESHOLD:
-                want[i, j] = s
-    got = {(r[0], r[1]): r[2] for r in ngram_join.ngram_jaccard_join(docs(spark, texts)).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
-    tiled = {(r[0], r[1]) for r in ngram_join.ngram_jaccard_join(docs(spark, ["same words in all of these"] * 9), tile=2).collect()}
-    assert tiled == {(i, j) for i in range(9) for j in range(i + 1, 9)}
+            if sets[i] and sets[j] and (s := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) >= threshold:
+                out[i, j] = s
+    return out
+
+
+def test_ngram_join_against_brute_force(spark):
+    texts = near_copies(random.Random(1), 60) + ["A b", "a B", "c", "a b"]
+    want = all_pairs(texts)
+    assert result(ngram_join.ngram_jaccard_join(docs(spark, texts))) == linked(want)
+    got = {(r[0], r[1]): r[2] for r in ngram_join.ngram_jaccard_pairs(docs(spark, texts)).collect()}
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(frozenset(grams(t)), k)
+    rep = [first[frozenset(grams(t))] for t in texts]
+    between = {(i, j): s for (i, j), s in want.items() if rep[i] == i and rep[j] == j} | {(rep[k], k): 1.0 for k in range(len(texts)) if rep[k] != k}
+    assert set(got) == set(between) and all(abs(got[k] - between[k]) < 1e-12 for k in got)
     kept = {r["doc_id"] for r in ngram_join.drop_near_duplicates(docs(spark, texts)).collect()}
-    parent = list(range(len(texts)))
-    for i, j in sorted(want):
-        a, b = i, j
-        while parent[a] != a:
-            a = parent[a]
-        while parent[b] != b:
-            b = parent[b]
-        parent[max(a, b)] = min(a, b)
-    assert kept == {k for k in range(len(texts)) if parent[k] == k}
+    assert kept == {k for k in range(len(texts)) if linked(want).get(k, (k,))[0] == k}
+
+
+def test_ngram_join_hot_groups_and_chains(spark):
+    rng = random.Random(21)
+    base = prose(rng, 60).split()
+    # more near copies of different text than a bucket may hold before it is hot, cut into tiles; and copies of one text
+    hot = []
+    for k in range(90):
+        w = list(base)
+        w[rng.randrange(60)] = f"u{k}"
+        hot.append(" ".join(w))
+    chain, w = [], prose(rng, 60).split()
+    for k in range(20):  # each near the next, the ends far apart
+        w = list(w)
+        w[3 * k : 3 * k + 3] = [f"c{k}{j}" for j in range(3)]
+        chain.append(" ".join(w))
+    texts = hot + chain + [hot[0]] * 40
+    d = docs(spark, texts)
+    assert result(ngram_join.ngram_jaccard_join(d, tile=16)) == linked(all_pairs(texts))
+
+
+def test_components_on_the_cluster_are_those_of_the_driver(spark):
+    rng = random.Random(22)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(None, 3), (5, 5)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    assert rows(graph.components(e, "a", "b", at_once=0)) == rows(graph.components(e, "a", "b"))
+    assert graph.components(e.limit(0), "a", "b").count() == 0
 
 
 def test_ngram_join_awkward(spark):
     d = awkward(spark)
-    assert rows(ngram_join.ngram_jaccard_join(d)) == Counter([(4, 5, 1.0)])
+    assert result(ngram_join.ngram_jaccard_join(d)) == {4: (4, 1), 5: (4, 1)}
     out = ngram_join.drop_near_duplicates(d)
     assert out.columns == d.columns and out.count() == d.count() - 1
     assert ngram_join.ngram_jaccard_join(d.limit(0)).count() == ngram_join.drop_near_duplicates(d.limit(0)).count() == 0
+    # one id with two texts: that with more n-grams stands for it
+    twice = docs(spark, ["a b c d e", "x y z", "x y z", "a b c d e"], [1, 1, 2, 3])
+    assert result(ngram_join.ngram_jaccard_join(twice)) == {1: (1, 1), 3: (1, 1)}
+
+
+def named(df, *cols):
+    """The ids as text."""
+    for c in cols:
+        df = df.withColumn(c, F.concat(F.lit("id"), F.col(c).cast("string")))
+    return df
+
+
+def test_ids_may_be_text(spark):
+    rng = random.Random(23)
+    item = prose(rng, 20)
+    texts = ["same words in all of these", "same words in all of these", item, prose(rng, 40), None]
+    d = named(docs(spark, texts), "doc_id")
+    assert result(ngram_join.ngram_jaccard_join(d)) == {"id0": ("id0", 1), "id1": ("id0", 1)}
+    bench = spark.createDataFrame([("q/1", item)], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()] == [("id2", "q/1")]
+    assert decontaminate.decontaminate(d, bench).count() == 4
+    v = spark.createDataFrame([("x", [1.0, 2.0]), ("y", [1.0, 2.0]), ("z", [2.0, -1.0])], "vec_id string, embedding array<float>")
+    assert result(cap_filters.near_duplicate_vectors(v)) == {"x": ("x", 1), "y": ("x", 1)}
+    turns = spark.createDataFrame([("p", 0, "user", "q"), ("p", 1, "assistant", "a"), ("q", 0, "user", "q"), ("q", 1, "assistant", "b")], "conv_id string, turn int, role string, text string")
+    assert [r["conv_id"] for r in preference.preferences_from_conversations(turns).collect()] == ["p"]
+    assert {r["doc_id"] for r in suffix_dedup.repeated_passages(named(docs(spark, [prose(rng, 9) + " " + " ".join(["k"] * 60)] * 2), "doc_id")).collect()} == {"id0", "id1"}
+    assert {i for r in packing.pack(d).collect() for i in r["doc_ids"]} == {"id0", "id1", "id2", "id3"}
+    assert lm_score.lm_scores(d).count() == secret_scan.redact_secrets(d).count() == 5
+    assert secret_scan.secrets(d).count() == 0 and pii.personal_data(d).count() == 0
+    labels = spark.createDataFrame([("id0", 1, 0), ("id3", 0, 1)], "doc_id string, quality int, toxic int")
+    assert nbsvm.quality_filter(d, labels).columns == d.columns
 
 
 # 1 ------------------------------------------------------------------------------------------------
@@ -103,23 +182,25 @@ def test_ngram_join_awkward(spark):
 def test_cap_filters_recall_and_awkward(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(300, 32))
-    x = np.concatenate([base, base[:120] + rng.normal(size=(120, 32)) * 0.42, base[:5]])
+    # changed copies, equal ones, and a group too large for a filter that isn't hot
+    x = np.concatenate([base, base[:120] + rng.normal(size=(120, 32)) * 0.42, base[:5], base[7] + rng.normal(size=(100, 32)) * 0.05])
     x = [[float(v) for v in r] for r in x.astype(np.float32)]
-    d = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, filter int")
+    d = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, bucket int")
     u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
     c = u @ u.T
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(c >= cap_filters.THRESHOLD, 1)))}
-    got = {(r[0], r[1]) for r in cap_filters.near_duplicate_vectors(d).collect()}
-    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 30
+    pairs = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(c >= cap_filters.THRESHOLD, 1)))}
+    want, got = linked(pairs), result(cap_filters.near_duplicate_vectors(d, tile=32))
+    assert set(got) <= set(want) and all(got[k][1] <= want[k][1] for k in got) and len(want) > 200
+    assert sum(n for _, n in got.values()) >= 0.97 * sum(n for _, n in want.values()) and len(got) >= 0.97 * len(want)
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [0.0, 1.0]), (8, [1.0, None])], "vec_id long, embedding array<float>")
-    assert rows(cap_filters.near_duplicate_vectors(odd)) == Counter([(1, 2, 1.0)])
+    assert result(cap_filters.near_duplicate_vectors(odd)) == {1: (1, 1), 2: (1, 1)}
     assert cap_filters.near_duplicate_vectors(odd.limit(0)).count() == 0
 
 
 def test_vectors_of_several_lengths(spark):
-    vectors = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 0.0, 2.0, 0.0]), (5, [1.0, 0.0, 2.0, 0.0]), (6, [2.0]), (7, [3.0]), (8, [-1.0]), (9, [1.0] * 9)]
+    vectors = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [2.0, 4.0, 6.0]), (4, [1.0, 0.0, 2.0, 0.0]), (5, [1.0, 0.0, 2.0, 0.0]), (6, [2.0]), (7, [3.0]), (8, [-1.0]), (9, [1.0] * 9)]
     d = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    assert rows(cap_filters.near_duplicate_vectors(d)) == Counter([(1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (4, 5, 1.0), (6, 7, 1.0)])
+    assert result(cap_filters.near_duplicate_vectors(d)) == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 1), 5: (4, 1), 6: (6, 1), 7: (6, 1)}
 
 
 # 4 ------------------------------------------------------------------------------------------------
@@ -231,6 +312,19 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d.limit(0), bench).count() == 0
 
 
+def test_items_dont_change_each_others_passages(spark):
+    rng = random.Random(31)
+    item, short = prose(rng, 30).split(), prose(rng, 5)
+    apart = " ".join(item[:20]) + " " + prose(rng, 900) + " " + " ".join(item[20:])  # question and answer far from each other
+    held = prose(rng, 50) + " " + short + " " + prose(rng, 50)
+    mixed = " ".join(reversed(short.split())) + " " + prose(rng, 50)
+    d = docs(spark, [apart, held, mixed])
+    one = spark.createDataFrame([(1, " ".join(item)), (2, short), (3, "and so")], "item_id long, text string")
+    more = one.union(spark.createDataFrame([(4, prose(rng, 2000))], one.schema))
+    for bench in (one, more):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()} == {(1, 2)}
+
+
 def test_block_pruning_is_exact():
     rng = random.Random(6)
     items = [prose(rng, 20) for _ in range(200)]
@@ -242,7 +336,7 @@ def test_block_pruning_is_exact():
 
     ws = [(k, word(t)) for k, t in enumerate(items)]
     df = Counter(x for _, w in ws for x in np.unique(w).tolist())
-    index = decontaminate.Index(ws, df, len(ws), 20.0)
+    index = decontaminate.Index(ws, df, len(ws), 20.0, 64, 8)
     for _ in range(40):
         base = rng.choice(items).split()
         cut = rng.randint(8, 20)
@@ -250,7 +344,7 @@ def test_block_pruning_is_exact():
         w = word(text)
         t = np.searchsorted(index.vocab, np.unique(w[np.isin(w, index.vocab)]))
         every = {b * index.size + k: s for b in range(index.blocks) for k, s in enumerate(index.score(t, b)) if s >= 0.5}
-        got = index.search(w, np.array([0, len(w)]), 64, 0.5, 0.0)
+        got = index.search(w, np.array([0, len(w)]), 0.5, 0.0)
         assert {g[1] for g in got} == set(every) and all(abs(g[3] - every[g[1]]) < 1e-9 for g in got)
 
 
@@ -293,6 +387,41 @@ def test_classifier_awkward(spark):
     assert nbsvm.quality_filter(d.limit(0), labels).count() == 0
 
 
+def test_dual_descent_against_a_plain_solver():
+    rng = np.random.default_rng(12)
+    n, d = 40, 12
+    rowsx = [np.sort(rng.choice(d, rng.integers(2, 7), replace=False)) for _ in range(n)]
+    positive = rng.random(n) < 0.5
+    for k in range(n):
+        if positive[k]:
+            rowsx[k] = np.unique(np.append(rowsx[k], 0))
+    feature, bounds = np.concatenate(rowsx).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rowsx])])
+    words = rng.integers(5, 30, n)
+    head = nbsvm.fit_head(feature, bounds, words, positive, c=0.5, epochs=400)
+    p, q = np.ones(1 << nbsvm.BITS), np.ones(1 << nbsvm.BITS)
+    for r, y in zip(rowsx, positive):
+        (p if y else q)[r] += 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratio[(p + q) < 4] = 0
+    x = np.zeros((n, d + 1))
+    for k, r in enumerate(rowsx):
+        x[k, r] = ratio[r] / np.sqrt(words[k])
+    x[:, d] = 1
+    y = np.where(positive, 1.0, -1.0)
+    limit = np.where(positive, 0.5 * n / (2 * positive.sum()), 0.5 * n / (2 * (~positive).sum()))
+    alpha, gram = np.zeros(n), (x @ x.T) * np.outer(y, y)
+    for _ in range(40_000):  # projected gradient on the dual
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.eigvalsh(gram)[-1], 0, limit) if _ == 0 else np.clip(alpha - (gram @ alpha - 1) * step, 0, limit)
+        step = step if _ else 1 / np.linalg.eigvalsh(gram)[-1]
+    w = (alpha * y) @ x
+
+    def dual(v):
+        return 0.5 * v @ v + (limit * np.maximum(0, 1 - y * (x @ v))).sum()
+
+    own = np.append(np.divide(head.weights[:d], ratio[:d], out=np.zeros(d), where=ratio[:d] != 0), head.bias)
+    assert abs(dual(own) - dual(w)) < 1e-3 * dual(w)
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 
@@ -344,6 +473,8 @@ def test_packing_places_every_token_once(spark):
     got = packing.pack(d, capacity=50).collect()
     assert sorted(r["bin_id"] for r in got) == list(range(len(got)))
     spans = Counter()
+    tokens = Counter((r["doc_id"], tuple((r["text"] or "").split()[k : k + 50])) for r in d.collect() for k in range(0, len((r["text"] or "").split()), 50))
+    assert tokens == Counter((p["doc_id"], tuple(t.split(" "))) for r in got for p, t in zip(r["pieces"], r["text"].split("\n"), strict=True))
     for r in got:
         assert r["n_tokens"] == sum(p["n_tokens"] for p in r["pieces"]) <= 50 and r["n_pieces"] == len(r["pieces"]) and r["doc_ids"] == [p["doc_id"] for p in r["pieces"]]
         assert [p["n_tokens"] for p in r["pieces"]] == sorted((p["n_tokens"] for p in r["pieces"]), reverse=True)
@@ -491,12 +622,28 @@ def test_scores_of_a_table(spark):
     assert lm_score.lm_scores(odd.limit(0)).count() == 0
 
 
+def test_scores_dont_depend_on_partitions(spark, monkeypatch):
+    rng = random.Random(6)
+    d = docs(spark, [prose(rng, rng.randint(0, 200)) for _ in range(60)])
+    real = lm_score.tokenized
+    monkeypatch.setattr(lm_score, "tokenized", lambda *a, **k: real(*a, **k, shard_rows=9))
+    a, b = ({r["doc_id"]: r["nll"] for r in lm_score.lm_scores(x).collect()} for x in (d.coalesce(1), d.repartition(7)))
+    assert a.keys() == b.keys() and all(a[k] == b[k] or abs(a[k] - b[k]) < 1e-3 for k in a)
+
+
+def test_vocabularies_of_more_than_16_bits():
+    assert lm_score.kind(1 << 16) is np.uint16 and lm_score.kind((1 << 16) + 1) is np.uint32
+    ids = np.array([70_000, 3], np.uint32)
+    got, bounds = lm_score._flat(pa.array([ids.tobytes(), b""], pa.binary()), np.uint32)
+    assert got.tolist() == [70_000, 3] and bounds.tolist() == [0, 2, 2]
+
+
 def test_training_reads_every_window(spark, monkeypatch):
     count, window = 200, 8
     words = np.random.default_rng(4).integers(200, 250, (count, window)).astype(np.uint16)
     words[:, 0] = np.arange(count)  # each text is one window, known by its first subword
     classes = lm_score.make_classes(np.arange(250) + 1, own=200, classes=250, embedded=20)
-    tokens = spark.createDataFrame([(bytearray(t.tobytes()),) for t in words], "ids binary").coalesce(1)
+    tokens = spark.createDataFrame([(k // 70, bytearray(t.tobytes())) for k, t in enumerate(words)], "shard long, ids binary").coalesce(1)
     seen, real = Counter(), lm_score.gather
 
     def gather(*args):
@@ -509,5 +656,5 @@ def test_training_reads_every_window(spark, monkeypatch):
 
     monkeypatch.setattr(lm_score, "gather", gather)
     monkeypatch.setattr(lm_score, "arrow_map", here)
-    lm_score.train(tokens, classes, np.zeros(250), window=window, overlap=3)
+    lm_score.train(tokens, classes, np.zeros(250), window=window)
     assert seen == Counter(range(count))

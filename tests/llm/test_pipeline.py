@@ -1,6 +1,7 @@
 """The stages in order, each against what it should do to its own input."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ import corpus_pipeline
 from locusflow.llm import nbsvm, ngram_join, packing, secret_scan
 from test_operators import DOCS, awkward, labelled, prose
 
+SECRET = "9f8b7c6d5e4f3a2b1c0d9f8b7c6d5e4f3a2b1c0d"
 STAGES = dict(corpus_pipeline.STAGES)
 
 
@@ -23,6 +25,7 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     docs, labels = labelled(spark, 300, 11)
     item = prose(rng, 30)
     more = [(1000, "", "en", "s", 0), (None, None, None, None, None), (1001, docs.first()["text"], "en", "s", 1)]
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 8, F.concat(F.lit(f'password = "{SECRET}" '), "text")).otherwise(F.col("text")))
     docs = docs.withColumn("text", F.when(F.col("doc_id") == 7, F.concat("text", F.lit(f" {item}"))).otherwise(F.col("text"))).union(spark.createDataFrame(more, DOCS))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     d = tables(spark, tmp_path, docs, labels, bench)
@@ -43,6 +46,9 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     want = sorted(map(str, packing.pack(at).collect()))
     assert sorted(map(str, corpus_pipeline.run(spark, d).collect())) == want and want
     tokens = sum(len(r["text"].split()) for r in at.collect())
+    packed = Counter(w for r in corpus_pipeline.run(spark, d).collect() for w in r["text"].split())
+    assert packed == Counter(w for r in at.collect() for w in r["text"].split())  # the redacted text itself
+    assert SECRET in docs.filter("doc_id = 8").first()["text"] and SECRET not in packed and SECRET not in " ".join(packed)
     assert corpus_pipeline.run(spark, d).agg(F.sum("n_tokens")).first()[0] == tokens
 
 
@@ -60,5 +66,5 @@ def test_stages_take_awkward_and_empty_tables(spark, tmp_path):
 def test_registered(spark):
     q = __spark_entry__.queries()
     assert q["pipeline"] is corpus_pipeline.run
-    assert [k for n in range(1, 11) for k in q if k.startswith(f"op{n}_")] == list(q)[-11:-1]
+    assert [k for n in range(1, 11) for k in q if k.startswith(f"op{n}_")] == list(q)[-12:-2]
     assert ngram_join.bands_for(0.6, 0.9995, 3) > 1 and secret_scan.MASK
