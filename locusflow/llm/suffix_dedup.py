@@ -9,6 +9,8 @@ the equal groups that are left after the last digit are exactly the windows that
    (about 1 word in 22 is an anchor). A shuffle on the anchor's hash finds the anchors that occur repeatedly.
 2. Windows on repeated anchors are shuffled to their anchor's bucket, each run as one row of word hashes, and
    the other digits are sorted there, pass by pass, in numpy; suffixes without an equal drop out early.
+   An anchor with more than ``HOT`` rows (a license in many pages) is no bucket for one task: its windows go on to
+   the buckets of all their digits together, one narrow row each, where counting combines before the shuffle.
 3. Runs of repeated windows are joined to maximal spans of each text.
 """
 
@@ -20,9 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import arrow_map, byte_slices
+from .common import arrow_map, byte_slices, materialize
 
-WINDOW, DIGIT = 50, 8
+WINDOW, DIGIT, HOT = 50, 8, 4096
 _MAX = np.uint64(2**64 - 1)
 
 
@@ -85,8 +87,21 @@ def _anchor_rows(window: int, digit: int):
     return run
 
 
-def _run_rows(window: int, digit: int):
-    """rid, text, wanted anchors -> a row for each run of windows on one wanted anchor."""
+def _window_rows(at: np.ndarray, word: np.ndarray, bounds: np.ndarray, doc: np.ndarray, rid: pa.Array, window: int, digit: int) -> pa.RecordBatch:
+    """A row for each window beginning at ``at``: two hashes over all its digits."""
+    h = np.zeros((2, len(at)), np.uint64)
+    for depth in range(0, window, digit):
+        value = np.zeros((2, len(at)), np.uint64)
+        for j in range(min(digit, window - depth)):
+            w = word[at + depth + j]
+            value[0] += w * tn._NGRAM[20 + j]
+            value[1] += w * tn._NGRAM[220 + j]
+        h = tn.mix(h * tn._NGRAM[11] + tn.mix(value))
+    return pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), rid.take(pa.array(doc[at])), pa.array(at - bounds[doc[at]])], ["h1", "h2", "rid", "start"])
+
+
+def _run_rows(window: int, digit: int, hot: bool):
+    """rid, text, wanted anchors -> a row for each run of windows on one wanted anchor; ``hot``: for each window."""
 
     def run(batches):
         for batch in batches:
@@ -108,6 +123,9 @@ def _run_rows(window: int, digit: int):
                 at = np.flatnonzero(good)
                 if not len(at):
                     continue
+                if hot:
+                    yield _window_rows(at, word, bounds, doc, part.column(0), window, digit)
+                    continue
                 new = np.append(True, (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]]) | (least[at[1:]] != least[at[:-1]]))
                 first = at[new]
                 last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
@@ -198,7 +216,7 @@ def _repeated(window: int, digit: int, limit: int = 1 << 22):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digit: int = DIGIT) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
     """Maximal spans of words that are covered by windows of ``window`` words occurring more than once.
 
     Returns the id, ``span_start`` and ``span_end`` (in words, the end not included), ``n_words`` and
@@ -214,13 +232,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter("text is not null")
     d = d.withColumn("rid", F.xxhash64("id", F.isnull("id"), "text"))
-    rows = arrow_map(d.select("rid", "text"), _anchor_rows(window, digit), "anchor long, rid long")
-    several = rows.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1")
-    wanted = several.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
-    texts = d.select("rid", "text").join(wanted, "rid")
-    runs = arrow_map(texts.select("rid", "text", "anchors"), _run_rows(window, digit), "anchor long, rid long, start long, words binary")
+    rows = materialize(arrow_map(d.select("rid", "text"), _anchor_rows(window, digit), "anchor long, rid long"), "anchors")
+    # counts combine before the shuffle and are joined back, so that no task holds all rows of an anchor
+    sizes = rows.groupBy("anchor").count().filter("count > 1")
+    few = F.col("count") <= hot
+    wanted = rows.join(sizes, "anchor").groupBy("rid").agg(F.collect_set(F.when(few, F.col("anchor"))).alias("few"), F.collect_set(F.when(~few, F.col("anchor"))).alias("many"))
+    wanted = materialize(wanted, "wanted")
+    texts = lambda kind: d.select("rid", "text").join(wanted.filter(F.size(kind) > 0).select("rid", F.col(kind).alias("anchors")), "rid")
+    runs = arrow_map(texts("few").select("rid", "text", "anchors"), _run_rows(window, digit, False), "anchor long, rid long, start long, words binary")
     runs = runs.repartition("anchor").sortWithinPartitions("anchor", "rid", "start")
     spans = arrow_map(runs, _repeated(window, digit), "rid long, first long, last long, copies long")
+    if not wanted.filter(F.size("many") > 0).isEmpty():
+        each = arrow_map(texts("many").select("rid", "text", "anchors"), _run_rows(window, digit, True), "h1 long, h2 long, rid long, start long")
+        each = materialize(each.distinct(), "windows")  # a row that was read twice counts once
+        counts = each.groupBy("h1", "h2").agg(F.count("*").alias("copies")).filter("copies > 1")
+        spans = spans.union(each.join(counts, ["h1", "h2"]).select("rid", F.col("start").alias("first"), (F.col("start") + window).alias("last"), "copies"))
     before = Window.partitionBy("rid").orderBy("first", "last")
     spans = spans.withColumn("reach", F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("island", F.sum(F.when(F.col("first") <= F.col("reach"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))

@@ -274,6 +274,8 @@ def test_suffix_dedup_against_brute_force(spark):
     texts = [" ".join((prose(rng, rng.randint(0, 40)), rng.choice(shared), prose(rng, rng.randint(0, 40)), rng.choice(shared))) for _ in range(30)]
     texts += ["a " * 60, "a " * 25, prose(rng, 9)]
     assert rows(suffix_dedup.repeated_passages(docs(spark, texts), window=12, digit=5)) == repeated(texts, 12)
+    for hot in (1, 4):  # anchors that are too many for one task
+        assert rows(suffix_dedup.repeated_passages(docs(spark, texts), window=12, digit=5, hot=hot)) == repeated(texts, 12)
 
 
 def test_suffix_dedup_awkward(spark):
