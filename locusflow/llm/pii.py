@@ -5,9 +5,11 @@ conditional random field with learned transitions decodes them. Everything is tr
 generated texts with labelled spans (e-mail addresses, phone numbers, network addresses, card numbers), with
 a fixed seed, once a process. Inference runs over overlapping windows, thousands of them at each step.
 
-Windows have ``CORE`` bytes of their own and ``CONTEXT`` more on both sides. Each window is decoded as a
-whole; a byte takes its tag from the window whose core it is in, and spans that continue across a seam are
-one span: if the windows disagree about its kind, the kind that most of its bytes have is taken.
+Windows have ``CORE`` bytes of their own and ``CONTEXT`` more on both sides. Where windows overlap, a byte's tag
+scores are reconciled before anything is decoded: all windows that read it get the mean of their scores, weighted by
+how far each reads beyond the byte. So windows decode the same scores on both sides of a seam. A byte then takes its
+tag from the window whose core it is in, and spans that continue across a seam are one span, of the kind that most
+of its bytes have.
 """
 
 from __future__ import annotations
@@ -221,15 +223,34 @@ def _windows(offsets: np.ndarray, core: int, context: int):
     return np.maximum(a - context, offsets[text]), np.minimum(b + context, offsets[text + 1]), a, b
 
 
+def reconcile(e: np.ndarray, first: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray, context: int) -> None:
+    """Give all windows that read a byte one mean of their scores ``e`` (step, tag, window) for it, in place."""
+    size, reach = last - first, 2 * context
+    left, right = first < a, last > b
+    head = np.where(left, np.minimum(reach, size), 0)
+    tail = np.where(right, np.maximum(size - reach, head), size)
+    n = head + size - tail
+    w = np.repeat(np.arange(len(size)), n)
+    if not len(w):
+        return
+    k = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+    t = np.where(k < head[w], k, k - head[w] + tail[w])
+    weight = np.minimum(np.where(left[w], t + 1, reach), np.where(right[w], size[w] - t, reach)).astype(np.float64)
+    _, at = np.unique(first[w] + t, return_inverse=True)
+    total = np.bincount(at, weight)
+    for y in range(e.shape[1]):
+        e[t, y, w] = (np.bincount(at, weight * e[t, y, w]) / total)[at]
+
+
 def tag(data: np.ndarray, offsets: np.ndarray, p: dict[str, np.ndarray], core: int = CORE, context: int = CONTEXT) -> np.ndarray:
-    """Tag of every byte: each window decoded by Viterbi, each byte's tag from the window of its core."""
+    """Tag of every byte: each window decoded by Viterbi on the reconciled scores, each byte's tag from the window of its core."""
     out = np.zeros(len(data), np.uint8)
     first, last, a, b = _windows(offsets, core, context)
     if not len(first):
         return out
     size = last - first
     order = np.argsort(-size, kind="stable")
-    first, size, a, b = first[order], size[order], a[order], b[order]
+    first, last, size, a, b = first[order], last[order], size[order], a[order], b[order]
     steps, n = int(size[0]), len(first)
     live = np.searchsorted(-size, -np.arange(steps), "left")  # windows longer than t
     cls = _CLASS[data]
@@ -271,6 +292,7 @@ def tag(data: np.ndarray, offsets: np.ndarray, p: dict[str, np.ndarray], core: i
             else:
                 e[t, :, :k] += o
     e += p["b"]
+    reconcile(e, first, last, a, b, context)
     # Viterbi: e[t] becomes the best score of a path to each tag; the way back is found from it where it is needed
     trans = p["t"]
     enter, stay, leave = trans[0, 1:, None], np.diag(trans)[1:, None], trans[1:, 0, None]
@@ -326,7 +348,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Every span of personal data: the id, ``span_start`` and ``span_end`` in characters, ``kind`` and ``value``.
 
     Whole texts are read, however long. Null and empty texts have no span; a null id is reported as null;
-    repeated rows give repeated results. Other columns are not read.
+    repeated rows give repeated results. Spans don't overlap; of kinds that score equally the first of ``KINDS`` counts.
+    Other columns are not read. An empty table has no spans.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([d.schema["id"], T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])

@@ -557,6 +557,48 @@ def test_personal_data_held_out_windows_and_awkward(spark):
     assert pii.personal_data(odd.limit(0)).count() == 0
 
 
+def test_overlapping_windows_get_one_score():
+    rng = np.random.default_rng(3)
+    for core, context in ((10, 4), (5, 4), (30, 2)):
+        offsets = np.array([0, 43, 43, 50, 120])
+        first, last, a, b = pii._windows(offsets, core, context)
+        size = last - first
+        e = rng.normal(size=(size.max(), 3, len(first)))
+        want = e.copy()
+        for pos in range(120):
+            reads = [(w, pos - first[w]) for w in range(len(first)) if first[w] <= pos < last[w] and np.searchsorted(offsets, a[w], "right") == np.searchsorted(offsets, pos, "right")]
+            if len(reads) > 1:
+                weight = [min(t + 1 if first[w] < a[w] else 2 * context, size[w] - t if last[w] > b[w] else 2 * context, 2 * context) for w, t in reads]
+                mean = sum(g * e[t, :, w] for g, (w, t) in zip(weight, reads)) / sum(weight)
+                for w, t in reads:
+                    want[t, :, w] = mean
+        pii.reconcile(e, first, last, a, b, context)
+        assert np.allclose(e, want)
+
+
+def test_crf_likelihood_and_gradients_by_enumeration():
+    rng = np.random.default_rng(5)
+    k = len(pii.KINDS)
+    e, trans = rng.normal(size=(4, k, 2)), rng.normal(size=(k, k)).astype(np.float32)
+    ok = pii._allowed()
+    tags = np.array([[0, 2], [1, 2], [1, 0], [0, 3]])
+
+    def nll(e):
+        total = 0.0
+        for n in range(2):
+            score = {p: sum(e[i, y, n] for i, y in enumerate(p)) + sum(float(trans[u, v]) for u, v in zip(p, p[1:])) for p in np.ndindex(*[k] * 4) if all(ok[u, v] for u, v in zip(p, p[1:]))}
+            total += np.log(np.exp(np.array(list(score.values()))).sum()) - score[tuple(tags[:, n].tolist())]
+        return total / 2
+
+    loss, grad, _ = pii._crf(e, tags, trans)
+    assert abs(loss - nll(e)) < 1e-5
+    for at in [(0, 0, 0), (1, 1, 0), (2, 3, 1), (3, 3, 1)]:
+        up, down = e.copy(), e.copy()
+        up[at] += 1e-4
+        down[at] -= 1e-4
+        assert abs((nll(up) - nll(down)) / 2e-4 - grad[at]) < 1e-4
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
