@@ -15,7 +15,6 @@
 from __future__ import annotations
 
 import base64
-import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, byte_slices, materialize
+from .common import arrow_map, byte_slices, materialize, steady_heap
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -162,16 +161,6 @@ def _mask(window: int) -> np.ndarray:
     return np.tril(np.ones((window, window), np.float32))
 
 
-def steady_heap() -> None:
-    """Keep freed arrays of this process in its heap: mapping each anew costs more than the arithmetic on them."""
-    try:
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 28)  # from what size memory is mapped
-        libc.mallopt(-1, 1 << 28)  # how much may stay free
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def forward(p, x, mask, tape: dict | None = None) -> np.ndarray:
     """Class logits (B * window, classes), up to 60, for inputs (B, window)."""
     n, window = x.shape

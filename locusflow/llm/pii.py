@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import synthetic as syn
 from . import textnum as tn
-from .common import arrow_map, byte_slices
+from .common import arrow_map, byte_slices, steady_heap
 
 KINDS = ("", "email", "phone", "ip", "card")
 HIDDEN, EMBED, CORE, CONTEXT, STEPS, BATCH, LENGTH, SEED = 14, 8, 960, 64, 900, 96, 112, 4
@@ -236,10 +236,17 @@ def reconcile(e: np.ndarray, first: np.ndarray, last: np.ndarray, a: np.ndarray,
     k = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
     t = np.where(k < head[w], k, k - head[w] + tail[w])
     weight = np.minimum(np.where(left[w], t + 1, reach), np.where(right[w], size[w] - t, reach)).astype(np.float64)
-    _, at = np.unique(first[w] + t, return_inverse=True)
+    at = first[w] + t
+    read = np.zeros(at.max() + 1, bool)
+    read[at] = True
+    at = (np.cumsum(read, dtype=np.int32) - 1)[at]
     total = np.bincount(at, weight)
+    place = (t * e.shape[1]) * e.shape[2] + w
+    flat = e.reshape(-1)
     for y in range(e.shape[1]):
-        e[t, y, w] = (np.bincount(at, weight * e[t, y, w]) / total)[at]
+        score = flat[place]
+        flat[place] = (np.bincount(at, weight * score) / total)[at]
+        place += e.shape[2]
 
 
 def tag(data: np.ndarray, offsets: np.ndarray, p: dict[str, np.ndarray], core: int = CORE, context: int = CONTEXT) -> np.ndarray:
@@ -357,6 +364,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         p = shared.value
+        steady_heap()
         for batch in batches:
             for part in byte_slices(batch, 1):
                 data, offsets = tn.buffers(part.column(1))
