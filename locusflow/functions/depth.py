@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import coordinate_system, get_metadata, use_zero_based
-from ..plans.scan import running, spread
+from ..plans.scan import bin_of, running, spread
 
 FILTER_FLAG = 1796  # unmapped, secondary, failed, duplicate
 
@@ -39,6 +39,8 @@ def depth(
     Blocks of equal depth: contig, pos_start, pos_end and coverage, those of depth 0 between covered places left
     out unless ``dense_mode`` is ``force``. With ``per_base`` one row a position (contig, pos, coverage), which
     needs the contigs' lengths in the source's header, and has 0 up to them. ``binary_cigar`` has no effect.
+    ``coverage`` is a short, as is usual for depth: deeper places have 32,767. Reads without a contig, place or cigar
+    cover nothing; no reads give no rows (with ``per_base`` all 0).
     """
     if dense_mode not in ("auto", "force", "disable"):
         raise ValueError("dense_mode is 'auto', 'force' or 'disable'")
@@ -55,9 +57,14 @@ def depth(
         lengths = spark.createDataFrame([(r["SN"], int(r["LN"])) for r in refs], "contig string, n long")
         edges = lengths.select("contig", F.explode(F.array(F.lit(0).cast("long"), F.col("n"))).alias("x"), F.lit(0).cast("long").alias("d"))
         e = e.unionByName(edges).groupBy("contig", "x").agg(F.sum("d").alias("d"))
-    e = running(e, "contig", "x", [F.col("x")], spread(e, "contig", "x"), {"c": F.col("d")})
-    w = Window.partitionBy("contig").orderBy("x")
-    b = e.withColumn("until", F.lead("x").over(w)).filter("until is not null and until > x")
+    s = spread(e, "contig", "x")
+    e = running(e, "contig", "x", [F.col("x")], s, {"c": F.col("d")})
+    # the next place within a bin, else the first one of the next bin that has any: no task holds a contig
+    e = e.withColumn("bin", bin_of(F.col("x"), s))
+    firsts = e.groupBy("contig", "bin").agg(F.min("x").alias("x"))
+    firsts = firsts.select("contig", "bin", F.lead("x").over(Window.partitionBy("contig").orderBy("bin")).alias("further"))  # a row a bin
+    b = e.withColumn("until", F.lead("x").over(Window.partitionBy("contig", "bin").orderBy("x"))).join(firsts, ["contig", "bin"])
+    b = b.withColumn("until", F.coalesce("until", "further")).filter("until is not null and until > x")
     if per_base:
         p = b.select("contig", F.explode(F.sequence("x", F.col("until") - 1)).alias("p"), "c")
         return p.select("contig", (F.col("p") + int(not zero)).cast("int").alias("pos"), F.least("c", F.lit(32767)).cast("short").alias("coverage"))

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from ..core import DEFAULT_COLS, bind, resolve, with_coordinate_system
 from ..plans.scan import Spread, running, spread
 from ..shipping import ship
+from ..sources.inputs import frame, takes
 from . import lookup
 
 ALGORITHMS = ("Coitrees", "IntervalTree", "ArrayIntervalTree", "Lapper", "SuperIntervals")
@@ -140,6 +141,7 @@ def _pairs(a: DataFrame, b: DataFrame, strict: bool, how: str = "inner") -> Data
     return x.join(y.hint("merge"), (F.col("ac") == F.col("bc")) & (F.col("alv") == F.col("blv")) & (F.col("abn") == F.col("bbn")) & once & _meet(strict), how)
 
 
+@takes(2)
 def overlap(
     df1: DataFrame, df2: DataFrame, suffixes: tuple[str, str] = ("_1", "_2"), on_cols: Sequence[str] | None = None, cols1: Sequence[str] | None = None, cols2: Sequence[str] | None = None,
     algorithm: str = "Coitrees", low_memory: bool = False, overlap_output: str = "join", distinct_output: bool = False,
@@ -205,6 +207,7 @@ def _probe(df1: DataFrame, df2: DataFrame, c1, c2, on: list[str], probes, events
     return found.groupBy("__row").agg(F.sum("__v").alias("__v"), *firsts), names
 
 
+@takes(2)
 def count_overlaps(
     df1: DataFrame, df2: DataFrame, suffixes: tuple[str, str] = ("", "_"), cols1: Sequence[str] | None = None, cols2: Sequence[str] | None = None, on_cols: Sequence[str] | None = None,
     algorithm: str = "Coitrees", naive_query: bool = True,
@@ -240,6 +243,7 @@ def count_overlaps(
     return with_coordinate_system(out, zero, c1)
 
 
+@takes(2)
 def coverage(df1: DataFrame, df2: DataFrame, suffixes: tuple[str, str] = ("", "_"), on_cols: Sequence[str] | None = None, cols1: Sequence[str] | None = None, cols2: Sequence[str] | None = None, algorithm: str = "Coitrees") -> DataFrame:
     """Rows of ``df1`` with ``coverage``, the number of their positions that rows of ``df2`` cover.
 
@@ -329,6 +333,7 @@ def _premerged(df: DataFrame, key: Column, min_dist: int, strict: bool) -> DataF
     return d.mapInArrow(run, schema)
 
 
+@takes(1)
 def merge(df: DataFrame, min_dist: int = 0, cols: Sequence[str] | None = None, on_cols: Sequence[str] | None = None) -> DataFrame:
     """Unions of intervals that overlap or lie within ``min_dist``: contig, start, end and ``n_intervals``.
 
@@ -350,6 +355,7 @@ def merge(df: DataFrame, min_dist: int = 0, cols: Sequence[str] | None = None, o
     return with_coordinate_system(out, zero, c)
 
 
+@takes(1)
 def cluster(df: DataFrame, min_dist: int = 0, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows with the number and bounds of the merged interval they are in: ``cluster`` (from 0, by contig and
     position), ``cluster_start``, ``cluster_end``. Rows with a null contig or position have nulls."""
@@ -420,6 +426,7 @@ def _gaps(df: DataFrame, contig: str, start: str, end: str) -> DataFrame:
     return inner.unionAll(tail)
 
 
+@takes(1)
 def complement(df: DataFrame, view_df: DataFrame | None = None, cols: Sequence[str] | None = None, view_cols: Sequence[str] | None = None) -> DataFrame:
     """The parts of the view that no interval covers; without a view, of each contig from 0 on."""
     c = bind(df, cols)
@@ -429,6 +436,7 @@ def complement(df: DataFrame, view_df: DataFrame | None = None, cols: Sequence[s
         view = df.select(F.col(c[0]).alias("vc")).filter("vc is not null").distinct().select("vc", F.lit(0).cast("long").alias("vs"), F.lit(MAX_POSITION).alias("ve"))
         shift_view = 0
     else:
+        view_df = frame(view_df)
         v = bind(view_df, view_cols)
         zero = resolve((df, c), (view_df, v))
         shift_view = 0 if zero else 1
@@ -442,6 +450,7 @@ def complement(df: DataFrame, view_df: DataFrame | None = None, cols: Sequence[s
     return with_coordinate_system(out, zero, c)
 
 
+@takes(2)
 def subtract(df1: DataFrame, df2: DataFrame, cols1: Sequence[str] | None = None, cols2: Sequence[str] | None = None) -> DataFrame:
     """The parts of each row of ``df1`` that no row of ``df2`` covers, with the row's other columns.
 
@@ -477,6 +486,7 @@ def subtract(df1: DataFrame, df2: DataFrame, cols1: Sequence[str] | None = None,
     return with_coordinate_system(parts.select(*keep).unionAll(alone.select(*keep)), zero, c1)
 
 
+@takes(2)
 def nearest(
     df1: DataFrame, df2: DataFrame, suffixes: tuple[str, str] = ("_1", "_2"), on_cols: Sequence[str] | None = None, cols1: Sequence[str] | None = None, cols2: Sequence[str] | None = None,
     k: int = 1, overlap: bool = True, distance: bool = True, algorithm: str = "Coitrees",
@@ -551,6 +561,7 @@ def _neighbours(out: DataFrame, df1, df2, na, nb, suffixes, distance: bool, zero
     return with_coordinate_system(out, zero, [c + suffixes[1] for c in c2])
 
 
+@takes(1)
 def expand(df: DataFrame, pad: int | None = None, scale: float | None = None, side: str = "both", cols: Sequence[str] | None = None) -> DataFrame:
     """Intervals grown by ``pad`` positions on a side or both, or to ``scale`` times their width.
 
@@ -573,6 +584,7 @@ def expand(df: DataFrame, pad: int | None = None, scale: float | None = None, si
     return df.select(*[new[x].alias(x, metadata=meta[x]) if x in new else F.col(f"`{x}`") for x in df.columns])
 
 
+@takes(1)
 def sort(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows by contig (as text), start and end."""
     return df.orderBy(*bind(df, cols))

@@ -9,19 +9,13 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.depth import depth
 from .functions.fastqc import fastqc
 from .operators import interval
-from .sources import bam, bbi, bcf, bgen, fastq, text
-
-READERS: dict[str, Callable[..., DataFrame]] = {
-    "bed": text.read_bed, "vcf": text.read_vcf, "gff": text.read_gff, "gtf": text.read_gtf, "pairs": text.read_pairs, "fasta": text.read_fasta, "fastq": fastq.read_fastq, "sam": text.read_sam, "bam": bam.read_bam, "bcf": bcf.read_bcf, "bgen": bgen.read_bgen, "bigwig": bbi.read_bigwig, "bigbed": bbi.read_bigbed, "table": text.read_table,
-}
-
+from .sources.inputs import READERS, kind_of
 
 def default_name(path: str) -> str:
     """The file's name in lower case without its extension, ``.`` and ``-`` as ``_``."""
@@ -64,10 +58,8 @@ def deregister_table(spark: SparkSession, name: str) -> bool:
 
 
 def _detect(path: str) -> str:
-    p = re.sub(r"\.(gz|bgz|bgzf)$", "", path.lower().split("?")[0])
-    for ext, kind in ((".bam", "bam"), (".sam", "sam")):
-        if p.endswith(ext):
-            return kind
+    if (kind := kind_of(path)) in ("bam", "sam"):
+        return kind
     raise ValueError(f"depth needs a .bam or .sam file, not {path}")
 
 

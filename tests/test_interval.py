@@ -188,3 +188,86 @@ def test_wide_and_narrow_widths(spark):
         warnings.simplefilter("ignore")
         got = lf.overlap(frame(spark, a, True), frame(spark, a, True))
     assert rows(got) == Counter(x + y for x in a for y in a if meets(x, y, True))
+
+
+def test_small_and_large_sides_agree(spark, sides, monkeypatch):
+    from locusflow.operators import lookup
+
+    a, b = sides
+    for zero in (True, False):
+        x = frame(spark, [*a, (None, 1, 2), ("A", None, 2)], zero)
+        y = frame(spark, [*b, (None, 1, 2), ("B", 3, None)], zero)
+
+        def results():
+            return [
+                rows(lf.overlap(x, y)), rows(lf.overlap(x, y, overlap_output="left")), rows(lf.overlap(x, y, overlap_output="left", distinct_output=True)), rows(lf.count_overlaps(x, y)), rows(lf.coverage(x, y)),
+                rows(lf.subtract(x, y)), rows(lf.nearest(x, y)), rows(lf.nearest(x, y, k=3)), rows(lf.nearest(x, y, k=2, overlap=False)), rows(lf.cluster(x, min_dist=2)), rows(lf.cluster(x)), rows(lf.merge(x, on_cols=[])),
+            ]
+
+        monkeypatch.setattr(lookup, "MAX_ROWS", 1_000_000)
+        small = results()
+        monkeypatch.setattr(lookup, "MAX_ROWS", -1)
+        assert small == results()
+
+
+def test_a_small_left_side_is_broadcast_too(spark, sides, monkeypatch):
+    from locusflow.operators import lookup
+
+    a, b = sides
+    x, y = frame(spark, a[:5], True), frame(spark, b, True)
+    want = rows(lf.overlap(x, y))
+    monkeypatch.setattr(lookup, "MAX_ROWS", 20)
+    assert rows(lf.overlap(x, y)) == want
+    assert "SortMergeJoin" not in lf.overlap(x, y)._jdf.queryExecution().toString()
+
+
+def test_paths_and_pandas(spark, sides, tmp_path):
+    import pandas as pd
+
+    a, b = sides
+    x, y = frame(spark, a, True), frame(spark, b, True)
+    want = rows(lf.overlap(x, y))
+    x.write.parquet(f"{tmp_path}/a.parquet")
+    y.write.csv(f"{tmp_path}/b.csv", header=True)
+    (tmp_path / "b.bed").write_text("".join(f"{c}\t{s}\t{e}\tn\n" for c, s, e in b))
+    lf.set_option("locusflow.coordinate_system_zero_based", True, spark)
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            assert rows(lf.overlap(f"{tmp_path}/a.parquet", f"{tmp_path}/b.csv")) == want
+            got = lf.overlap(f"{tmp_path}/a.parquet", f"{tmp_path}/b.bed")
+            assert rows(got.drop("name_2")) == want
+            assert rows(lf.overlap(pd.DataFrame(a, columns=["chrom", "start", "end"]), y)) == want
+    finally:
+        spark.conf.unset("locusflow.coordinate_system_zero_based")
+    with pytest.raises(ValueError):
+        lf.merge(f"{tmp_path}/a.unknown")
+    with pytest.raises(TypeError):
+        lf.merge(7)
+
+
+def test_stream_against_a_table(spark, sides, tmp_path):
+    a, b = sides
+    x, y = frame(spark, a, True), frame(spark, b, True)
+    x.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = lf.with_coordinate_system(spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), True)
+    got = []
+    q = lf.overlap_stream(stream, y, lambda df, n: got.extend(tuple(r) for r in df.collect()), f"{tmp_path}/state", trigger={"availableNow": True})
+    q.awaitTermination(120)
+    assert Counter(got) == rows(lf.overlap(x, y))
+    with pytest.raises(ValueError):
+        lf.overlap_stream(stream, y, print, f"{tmp_path}/s2", operator="merge")
+
+
+def test_depth_in_bins_is_depth(spark, monkeypatch):
+    from locusflow.functions import depth as module
+    from locusflow.plans import scan
+
+    r = random.Random(3)
+    reads = [(r.choice("AB"), s := r.randint(0, 300), s + 20, 0, "20M", 60) for _ in range(200)]
+    df = lf.with_coordinate_system(spark.createDataFrame(reads, "chrom string, start long, end long, flags long, cigar string, mapping_quality long"), True)
+    want = [rows(lf.depth(df)), rows(lf.depth(df, dense_mode="force"))]
+    cover = Counter((c, p) for c, s, e, *_ in reads for p in range(s, e))
+    assert sum(x[3] * (x[2] - x[1]) for x in want[0]) == sum(cover.values()) and all(cover[x[0], x[1]] == x[3] for x in want[0])
+    monkeypatch.setattr(module, "spread", lambda d, c, p: scan.spread(d, c, p, rows_per_bin=7))
+    assert [rows(lf.depth(df)), rows(lf.depth(df, dense_mode="force"))] == want
