@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import get_metadata, set_source_metadata, with_coordinate_system
+from .core import ZERO_BASED, get_metadata, set_source_metadata, with_coordinate_system
 from .fluent import intervals
 from .functions.depth import depth
 from .operators import interval as iv
@@ -19,6 +19,7 @@ from .queries import _STRICT, _VIEWS, ORACLE_SQL as _INTERVAL_SQL, _near, iv_a,
 from .scratch import folder
 from .shipping import ship
 from .sources import sinks, text
+from .streaming.overlap import overlap_stream
 from .sql import deregister_table, register_view
 from .sql import sql as run_sql
 
@@ -227,11 +228,31 @@ def depth_per_base(spark, d):
     return depth(r, per_base=True).select("contig", F.col("pos").cast("long").alias("pos"), F.col("coverage").cast("long").alias("coverage"))
 
 
+def stream_overlap(spark, d):
+    source, out = folder(spark, "stream"), folder(spark, "answers")
+    a = iv_a(spark, d)
+    a.write.parquet(source)
+    stream = with_coordinate_system(spark.readStream.schema(a.schema).parquet(source), True)
+    overlap_stream(stream, iv_b(spark, d), lambda df, n: df.write.parquet(f"{out}/batch={n}"), folder(spark, "state"), trigger={"availableNow": True}).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def overlap_of_paths(spark, d):
+    a, b = folder(spark, "a") + ".parquet", folder(spark, "b") + ".csv"
+    iv_a(spark, d).write.parquet(a)
+    iv_b(spark, d).write.csv(b, header=True)
+    spark.conf.set(ZERO_BASED, "true")
+    try:
+        return iv.overlap(a, b).select("chrom_1", "start_1", "end_1", "chrom_2", F.col("start_2").cast("long").alias("start_2"), F.col("end_2").cast("long").alias("end_2"))
+    finally:
+        spark.conf.unset(ZERO_BASED)
+
+
 QUERIES: dict[str, Query] = {k: _shared(_SPARK.get(k, v)) for k, v in SHARED.items()} | {
     "predicate_is_in_nothing": is_in_nothing, "projection_of_reader": projection, "limit_of_reader": limit_of_reader, "pivot": pivoted, "aggregate_approx_distinct": approximate_distinct, "functions_regex_match": functions_regex_match,
     "functions_datetime": functions_datetime, "functions_nested": functions_nested, "functions_crypto_encoding": functions_crypto_encoding, "functions_json": functions_json, "explode": exploded, "parquet_round_trip": _copy("parquet"), "csv_round_trip": _copy("csv"),
     "json_round_trip": _copy("json"), "in_memory_frame": in_memory, "sql_to_file": sql_to_file, "udf_pandas": pandas_udf, "sql_register_view": view_of_views, "sql_coverage": sql_coverage, "overlap_on_cols": overlap_on_cols, "merge_on_cols": merge_on_cols,
-    "complement_without_view": complement_without_view, "fluent_chain": fluent_chain, "nearest_k2": nearest_k2, "source_metadata": source_metadata, "depth_per_base": depth_per_base,
+    "complement_without_view": complement_without_view, "fluent_chain": fluent_chain, "nearest_k2": nearest_k2, "source_metadata": source_metadata, "depth_per_base": depth_per_base, "stream_overlap": stream_overlap, "overlap_of_paths": overlap_of_paths,
 }
 
 _WITH_STRAND = "(select *, case when s % 2 = 0 then '+' else '-' end as strand from {0})"
@@ -267,6 +288,6 @@ i as (select *, sum(case when reach is null or s >= reach + 1 then 1 else 0 end)
 select chrom, min(s) as start, max(e) as "end", count(*) as n_intervals from i group by chrom, island""",
     "source_metadata": "select 'bed' as format, 'x.bed' as path, 'n' as note, true as zero",
     "depth_per_base": f"{_VIEWS}, c as (select unnest(['S1', 'S2']) as contig), p as (select contig, unnest(range(0, 5000)) as pos from c) select contig, pos::bigint as pos, count(b.s) as coverage from p left join b on b.chrom = contig and b.s <= pos and b.e > pos group by 1, 2",
-    "sql_coverage": _INTERVAL_SQL["coverage"],
+    "sql_coverage": _INTERVAL_SQL["coverage"], "stream_overlap": _INTERVAL_SQL["overlap"], "overlap_of_paths": _INTERVAL_SQL["overlap"],
     "nearest_k2": f"select chrom_1, start_1, end_1, distance from ({_near(2, True)})",
 }

@@ -481,12 +481,9 @@ def _reg2bin(lo: int, hi: int) -> int:
 def write_bam(df: DataFrame, path: str, sort_on_write: bool = False, tag_type_overrides: dict[str, str] | None = None) -> int:
     """Alignments as BAM; rows are encoded on executors, the driver puts the compressed pieces together in order."""
     import io
-    import uuid
 
-    from pyarrow.fs import FileSelector
-
-    from .files import filesystem, write_bgzf
-    from .sinks import _zero, prepared, sam_header, sam_kind
+    from .files import bgzf
+    from .sinks import _zero, assemble, prepared, sam_header, sam_kind
 
     zero = _zero(df)
     text = sam_header(df, sort_on_write)
@@ -502,32 +499,12 @@ def write_bam(df: DataFrame, path: str, sort_on_write: bool = False, tag_type_ov
             out = io.BytesIO()
             for row in b.to_pylist():
                 out.write(encode(fill | row, names, tags))
-            packed = io.BytesIO()
-            write_bgzf(packed, out.getvalue(), False)
-            yield pa.RecordBatch.from_arrays([pa.array([packed.getvalue()], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([bgzf(out.getvalue(), False)], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
 
     use(df.sparkSession)
-    folder = f"{path}.parts-{uuid.uuid4().hex}"
-    f, fp = filesystem(folder)
-    d.mapInArrow(run, "data binary, n long").write.parquet(folder)
     head = "\n".join(text).encode() + b"\n"
     head = b"BAM\x01" + struct.pack("<i", len(head)) + head + struct.pack("<i", len(refs)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in refs)
-    total = 0
-    try:
-        import pyarrow.parquet as pq
-
-        parts = sorted((x.path for x in f.get_file_info(FileSelector(fp)) if x.base_name.startswith("part-")))
-        with f.open_output_stream(filesystem(path)[1], compression=None) as out:
-            write_bgzf(out, head, False)
-            for p in parts:
-                for b in pq.ParquetFile(f.open_input_file(p)).iter_batches(4):
-                    for data, n in zip(b.column(0), b.column(1)):
-                        out.write(data.as_py())
-                        total += n.as_py()
-            write_bgzf(out, b"", True)
-    finally:
-        f.delete_dir(fp)
-    return total
+    return assemble(d.mapInArrow(run, "data binary, n long"), path, bgzf(head, False), bgzf(b"", True))
 
 
 def sink_bam(*args, **kwargs) -> None:

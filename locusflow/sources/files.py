@@ -156,6 +156,12 @@ def write_bgzf(out, data: bytes, last: bool = True) -> None:
         out.write(bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"))
 
 
+def bgzf(data: bytes, last: bool = True) -> bytes:
+    out = io.BytesIO()
+    write_bgzf(out, data, last)
+    return out.getvalue()
+
+
 # Lines -------------------------------------------------------------------------------------------
 
 

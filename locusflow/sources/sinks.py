@@ -1,56 +1,70 @@
 """Writers of text formats.
 
-The lines are made by JVM expressions. ``write_*`` gives one file, as the reference formats want a header and
-an order: partitions are written in parallel to a folder beside it and their bytes put together in partition
-order by the driver, part by part, without passing through its memory as rows. ``sink_*`` is the same without the count.
+The lines are made by JVM expressions. ``write_*`` gives one file, as these formats want a header and
+an order: partitions are encoded and compressed in parallel into a folder beside it, and the driver copies the finished
+bytes together in partition order. ``sink_*`` is the same without the count.
 """
 
 from __future__ import annotations
 
-import shutil
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core import coordinate_system, get_metadata, use_zero_based
-from .files import filesystem, write_bgzf
+from ..shipping import ship
+from .files import bgzf, filesystem
 
 _COMPRESSED = (".gz", ".bgz", ".bgzf")
 
 
-def _put(lines: DataFrame, path: str, header: Sequence[str], mark: bytes = b"") -> int:
-    """One file from the lines of all partitions, in order; the number of lines (that begin with ``mark``).
-    BGZF if the file's name says so."""
+def assemble(pieces: DataFrame, path: str, head: bytes, tail: bytes = b"") -> int:
+    """One file from the finished bytes of all partitions, in order (``data``; ``n``: rows in it); the number of rows.
+
+    Everything is encoded and compressed in tasks; the driver only copies, a few pieces at a time."""
     f, p = filesystem(path)
     folder = f"{path}.parts-{uuid.uuid4().hex}"
     fp = filesystem(folder)[1]
-    lines.select(F.col("line").alias("value")).write.text(folder)
-    n, before = 0, b"\n"
+    total = 0
     try:
-        parts = sorted((x for x in f.get_file_info(FileSelector(fp)) if x.base_name.startswith("part-")), key=lambda x: x.base_name)
+        pieces.write.option("compression", "none").parquet(folder)
+        parts = sorted(x.path for x in f.get_file_info(FileSelector(fp)) if x.base_name.startswith("part-"))
         with f.open_output_stream(p, compression=None) as out:
-            packed = p.endswith(_COMPRESSED)
-
-            def put(data: bytes) -> None:
-                write_bgzf(out, data, False) if packed else out.write(data)
-
-            if header:
-                put(("\n".join(header) + "\n").encode())
+            out.write(head)
             for part in parts:
-                with f.open_input_stream(part.path, compression=None) as src:
-                    while data := src.read(65280 * 64):
-                        n += (before + data).count(b"\n" + mark) if mark else data.count(b"\n")
-                        before = data[-1:]
-                        put(data)
-            if packed:
-                write_bgzf(out, b"", True)
+                for b in pq.ParquetFile(f.open_input_file(part)).iter_batches(4):
+                    for data, n in zip(b.column(0), b.column(1)):
+                        out.write(data.as_buffer())
+                        total += n.as_py()
+            out.write(tail)
     finally:
-        f.delete_dir(fp) if hasattr(f, "delete_dir") else shutil.rmtree(fp)
-    return n
+        f.delete_dir(fp)
+    return total
+
+
+def _put(lines: DataFrame, path: str, header: Sequence[str]) -> int:
+    """One file from the rows of all partitions, in order, each ``line`` with a line feed after it; the number of rows.
+    BGZF if the file's name says so."""
+    packed = filesystem(path)[1].endswith(_COMPRESSED)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pc.fill_null(b.column(0), "")
+            data = b"\n".join(memoryview(x.as_buffer()) for x in rows) + b"\n"
+            yield pa.RecordBatch.from_arrays([pa.array([bgzf(data, False) if packed else data], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
+
+    ship(lines.sparkSession)
+    head = "".join(x + "\n" for x in header).encode()
+    return assemble(lines.mapInArrow(run, "data binary, n long"), path, bgzf(head, False) if packed else head, bgzf(b"", True) if packed else b"")
 
 
 def _zero(df: DataFrame, cols=("chrom", "start", "end")) -> bool:
@@ -71,7 +85,7 @@ def write_fasta(df: DataFrame, path: str, width: int = 0) -> int:
     seq = F.coalesce(F.col("sequence"), F.lit(""))
     if width:
         seq = F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
-    return _put(df.select(F.concat(head, F.lit("\n"), seq).alias("line")), path, [], b">")
+    return _put(df.select(F.concat(head, F.lit("\n"), seq).alias("line")), path, [])
 
 
 def write_fastq(df: DataFrame, path: str) -> int:
@@ -82,7 +96,7 @@ def write_fastq(df: DataFrame, path: str) -> int:
     head = F.concat(F.lit("@"), "name")
     if "description" in df.columns:
         head = F.concat(head, F.when(F.coalesce(F.col("description"), F.lit("")) != "", F.concat(F.lit(" "), "description")).otherwise(""))
-    return _put(df.select(F.concat_ws("\n", head, F.coalesce("sequence", F.lit("")), F.lit("+"), F.coalesce("quality_scores", F.lit(""))).alias("line")), path, []) // 4
+    return _put(df.select(F.concat_ws("\n", head, F.coalesce("sequence", F.lit("")), F.lit("+"), F.coalesce("quality_scores", F.lit(""))).alias("line")), path, [])
 
 
 # VCF ---------------------------------------------------------------------------------------------
