@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -254,11 +255,25 @@ class LinesReader(DataSourceReader):
         self.paths = paths_of(options["path"])
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.separator = options.get("lineSep", "\n").encode()
+        self.regions = json.loads(options.get("regions", "null"))
 
     def partitions(self):
-        return splits(self.paths, self.split_bytes)
+        if self.regions is None:
+            return splits(self.paths, self.split_bytes)
+        from .tabix import ranges_of, region
+
+        out = []
+        for p in self.paths:
+            found = ranges_of(p, [region(r) for r in self.regions]) if compression(p) == "bgzf" else None
+            if found is None:
+                out += splits([p], self.split_bytes)
+            for a, b in found or []:
+                out += [Split(p, k, min(k + self.split_bytes, b), "bgzf") for k in range(a, b, self.split_bytes)]
+        return out
 
     def read(self, partition):
+        if partition is None:  # no range at all
+            return
         for a in lines_of(partition, self.separator):
             yield pa.RecordBatch.from_arrays([a], ["value"])
 
@@ -285,11 +300,15 @@ def use(spark: SparkSession, *sources: type[DataSource]) -> None:
         spark.dataSource.register(s)
 
 
-def lines(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
-    """``value``: the lines of text files, by whichever reader can split them."""
+def lines(spark: SparkSession, path: str, separator: str = "\n", regions: Sequence[str] | None = None) -> DataFrame:
+    """``value``: the lines of text files, by whichever reader can split them. With ``regions`` (as in ``tabix.region``),
+    of files with a tabix or CSI index those about the index's chunks alone."""
     first = paths_of(path)[0]
     kind = compression(first)
     if kind == "none" or (kind == "gzip" and first.endswith(".gz")):
         return spark.read.text(path, lineSep=separator) if separator != "\n" else spark.read.text(path)
     use(spark, LinesSource)
-    return spark.read.format("locusflow_lines").option("lineSep", separator).load(path)
+    reader = spark.read.format("locusflow_lines").option("lineSep", separator)
+    if regions is not None:
+        reader = reader.option("regions", json.dumps(list(regions)))
+    return reader.load(path)

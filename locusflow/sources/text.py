@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..core import set_source_metadata, use_zero_based, with_coordinate_system
 from .files import header_lines, lines, paths_of
+from .tabix import within
 
 BED_NAMES = ["chrom", "start", "end", "name", "score", "strand", "thickStart", "thickEnd", "itemRgb", "blockCount", "blockSizes", "blockStarts"]
 BED_TYPES = dict(zip(BED_NAMES, "string long long string string string long long string int string string".split()))
@@ -46,11 +47,12 @@ def read_table(spark: SparkSession, path: str, schema: str = "bed4") -> DataFram
     return f.select(*[_at(k).cast(BED_TYPES[n]).alias(n) for k, n in enumerate(TABLE_SCHEMAS[key])])
 
 
-def read_bed(spark: SparkSession, path: str, zero_based: bool | None = None) -> DataFrame:
-    """chrom, start, end and name of a BED file (0-based in the file)."""
+def read_bed(spark: SparkSession, path: str, zero_based: bool | None = None, regions: Sequence[str] | None = None) -> DataFrame:
+    """chrom, start, end and name of a BED file (0-based in the file); with ``regions``, of the rows that meet one."""
     zero = use_zero_based(zero_based, spark)
-    f = _fields(lines(spark, path), r"^\s*(#|$|track\b|browser\b)")
+    f = _fields(lines(spark, path, regions=regions), r"^\s*(#|$|track\b|browser\b)")
     df = f.select(_at(0).alias("chrom"), _start(_at(1), True, zero).alias("start"), _at(2).cast("long").alias("end"), _at(3).alias("name"))
+    df = within(df, regions, zero)
     return set_source_metadata(with_coordinate_system(df, zero), "bed", path)
 
 
@@ -81,38 +83,40 @@ def with_attributes(df: DataFrame, names: Sequence[str], keep: bool = False) ->
     return out if keep else out.drop("attributes")
 
 
-def _read_features(spark, path, attr_fields, zero_based, gtf: bool) -> DataFrame:
+def _read_features(spark, path, attr_fields, zero_based, regions, gtf: bool) -> DataFrame:
     zero = use_zero_based(zero_based, spark)
-    f = _fields(lines(spark, path)).filter(F.size("f") >= 8)
+    f = _fields(lines(spark, path, regions=regions)).filter(F.size("f") >= 8)
     df = f.select(
         _at(0).alias("chrom"), _start(_at(3), False, zero).alias("start"), _at(4).cast("long").alias("end"), _at(2).alias("type"), _at(1).alias("source"),
         _given(_at(5)).cast("float").alias("score"), _given(_at(6)).alias("strand"), _given(_at(7)).cast("int").alias("phase"), _pairs(_given(F.coalesce(_at(8), F.lit("."))), gtf).alias("attributes"),
     )
+    df = within(df, regions, zero)
     if attr_fields is not None:
         df = with_attributes(df, list(attr_fields))
     return set_source_metadata(with_coordinate_system(df, zero), "gtf" if gtf else "gff", path)
 
 
-def read_gff(spark: SparkSession, path: str, attr_fields: Sequence[str] | None = None, zero_based: bool | None = None) -> DataFrame:
-    """Features of a GFF3 file; ``attributes`` is an array of (tag, value), or with ``attr_fields`` those as columns."""
-    return _read_features(spark, path, attr_fields, zero_based, False)
+def read_gff(spark: SparkSession, path: str, attr_fields: Sequence[str] | None = None, zero_based: bool | None = None, regions: Sequence[str] | None = None) -> DataFrame:
+    """Features of a GFF3 file; ``attributes`` is an array of (tag, value), or with ``attr_fields`` those as columns.
+    With ``regions`` (``chr1:1,000-2,000``), the features that meet one, read by a tabix or CSI index where there is one."""
+    return _read_features(spark, path, attr_fields, zero_based, regions, False)
 
 
-def read_gtf(spark: SparkSession, path: str, attr_fields: Sequence[str] | None = None, zero_based: bool | None = None) -> DataFrame:
+def read_gtf(spark: SparkSession, path: str, attr_fields: Sequence[str] | None = None, zero_based: bool | None = None, regions: Sequence[str] | None = None) -> DataFrame:
     """Features of a GTF file, like ``read_gff``."""
-    return _read_features(spark, path, attr_fields, zero_based, True)
+    return _read_features(spark, path, attr_fields, zero_based, regions, True)
 
 
-def read_pairs(spark: SparkSession, path: str, zero_based: bool | None = None) -> DataFrame:
-    """Contacts of a pairs file, its columns those of the ``#columns:`` line."""
+def read_pairs(spark: SparkSession, path: str, zero_based: bool | None = None, regions: Sequence[str] | None = None) -> DataFrame:
+    """Contacts of a pairs file, its columns those of the ``#columns:`` line; with ``regions``, those whose first end is in one."""
     zero = use_zero_based(zero_based, spark)
     names = ["readID", "chr1", "pos1", "chr2", "pos2", "strand1", "strand2"]
     for h in header_lines(paths_of(path)[0]):
         if h.lower().startswith("#columns:"):
             names = h.split(":", 1)[1].split()
-    f = _fields(lines(spark, path))
+    f = _fields(lines(spark, path, regions=regions))
     cols = [_start(_at(k), False, zero).alias(n) if n in ("pos1", "pos2") else _at(k).alias(n) for k, n in enumerate(names)]
-    return set_source_metadata(with_coordinate_system(f.select(*cols), zero, ("chr1", "pos1", "pos2")), "pairs", path)
+    return set_source_metadata(with_coordinate_system(within(f.select(*cols), regions, zero, ("chr1", "pos1", "pos1")), zero, ("chr1", "pos1", "pos2")), "pairs", path)
 
 
 # VCF ---------------------------------------------------------------------------------------------
@@ -188,7 +192,7 @@ def format_names(header: VcfHeader, info: Sequence[str], wanted: Sequence[str])
 
 
 def read_vcf(
-    spark: SparkSession, path: str, info_fields: Sequence[str] | None = None, format_fields: Sequence[str] | None = None, samples: Sequence[str] | None = None, zero_based: bool | None = None,
+    spark: SparkSession, path: str, info_fields: Sequence[str] | None = None, format_fields: Sequence[str] | None = None, samples: Sequence[str] | None = None, zero_based: bool | None = None, regions: Sequence[str] | None = None,
 ) -> DataFrame:
     """Variants of a VCF file: the eight core columns, INFO fields, and FORMAT fields of its samples.
 
@@ -196,9 +200,11 @@ def read_vcf(
     columns of their own; those of several are arrays in ``genotypes``, in the order of the samples. Alternative
     alleles and filters are joined by ``|`` and ``;``. ``end`` is the INFO field END, or else the reference
     allele's last position. A key without a value is null, a flag without its key false.
+    With ``regions`` (``chr1:1,000-2,000``), the variants that meet one, read by a tabix or CSI index where there is one.
     """
     header = VcfHeader(header_lines(paths_of(path)[0]))
-    return variants(spark, lines(spark, path), header, "vcf", path, info_fields, format_fields, samples, zero_based)
+    out = variants(spark, lines(spark, path, regions=regions), header, "vcf", path, info_fields, format_fields, samples, zero_based)
+    return within(out, regions, use_zero_based(zero_based, spark))
 
 
 def variants(spark: SparkSession, raw: DataFrame, header: VcfHeader, kind: str, path: str, info_fields, format_fields, samples, zero_based) -> DataFrame:

@@ -269,3 +269,70 @@ def test_sql(spark, sam, tmp_path):
     with pytest.raises(Exception):
         lf.register_vcf(spark, str(tmp_path / "none.vcf"), "iv")
     assert spark.table("iv").count() == 1
+
+
+def index_of(path, csi):
+    """A tabix or CSI index of a BGZF file of chrom and 1-based position in the first two columns, one chunk a line."""
+    import gzip
+    import struct
+
+    from locusflow.sources.files import blocks
+
+    places, held, line_at = [], b"", 0
+    with open(path, "rb") as f:
+        for at, data in blocks(f, 0):
+            for k in range(len(data)):
+                if not held:
+                    line_at = at << 16 | k
+                held += data[k : k + 1]
+                if held.endswith(b"\n"):
+                    places.append((held, line_at))
+                    held = b""
+    ends = [p for _, p in places[1:]] + [1 << 47]
+    shift, depth = (14, 6) if csi else (14, 5)
+    refs = {}
+    for (line, a), b in zip(places, ends):
+        if line.startswith(b"#"):
+            continue
+        chrom, pos = line.split(b"\t")[:2]
+        lo = int(pos) - 1
+        number = ((1 << 3 * depth) - 1) // 7 + (lo >> shift)
+        refs.setdefault(chrom, {}).setdefault(number, []).append((a, b, lo >> shift))
+    names = b"".join(c + b"\0" for c in refs)
+    head = struct.pack("<7i", 2, 1, 2, 0, 35, 0, len(names)) + names
+    out = (b"CSI\1" + struct.pack("<3i", shift, depth, len(head)) + head + struct.pack("<i", len(refs))) if csi else (b"TBI\1" + struct.pack("<i", len(refs)) + head)
+    for own in refs.values():
+        out += struct.pack("<i", len(own))
+        for number, chunks in own.items():
+            out += struct.pack("<I", number) + (struct.pack("<Q", chunks[0][0]) if csi else b"") + struct.pack("<i", len(chunks)) + b"".join(struct.pack("<QQ", a, b) for a, b, _ in chunks)
+        if not csi:
+            most = max(w for c in own.values() for *_, w in c) + 1
+            linear = [min((a for c in own.values() for a, _, w in c if w >= k), default=0) for k in range(most)]
+            out += struct.pack("<i", most) + struct.pack(f"<{most}Q", *linear)
+    with gzip.open(path + (".csi" if csi else ".tbi"), "wb") as f:
+        f.write(out)
+
+
+@pytest.mark.parametrize("csi", [False, True])
+def test_regions_by_index(spark, tmp_path, csi):
+    from locusflow.sources import tabix
+
+    path = f"{tmp_path}/v.vcf.gz"
+    want = [(c, 1 + 977 * k) for c in ("c1", "c2") for k in range(9000)]
+    d = lf.with_coordinate_system(spark.createDataFrame([(c, p, p, f"rs{p}", "A", "T") for c, p in want], "chrom string, start long, end long, id string, ref string, alt string").coalesce(1), False)
+    lf.write_vcf(d, path)
+    for regions in (["c1:1,000,000-1,100,000"], ["c2:5000-6000", "c1:8,000,000"], ["c2"], ["c3"], ["c1:2-3"]):
+        inside = sorted((c, p) for c, p in want if any(r.chrom == c and r.start < p <= r.end for r in map(tabix.region, regions)))
+        whole = sorted(tuple(r) for r in lf.read_vcf(spark, path, regions=regions).select("chrom", "start").collect())
+        assert whole == inside
+    index_of(path, csi)
+    for regions in (["c1:1,000,000-1,100,000"], ["c2:5000-6000", "c1:8,000,000"], ["c2"], ["c3"], ["c1:2-3"]):
+        inside = sorted((c, p) for c, p in want if any(r.chrom == c and r.start < p <= r.end for r in map(tabix.region, regions)))
+        assert sorted(tuple(r) for r in lf.read_vcf(spark, path, regions=regions).select("chrom", "start").collect()) == inside
+    import os
+
+    read = sum(b - a for a, b in tabix.ranges_of(path, [tabix.region("c2:8,500,000")]))
+    assert 0 < read <= min(os.path.getsize(path), (3 << 16))
+    with pytest.raises(ValueError):
+        tabix.region("c1:9-2")
+    assert tabix.region("HLA:x").chrom == "HLA:x"
