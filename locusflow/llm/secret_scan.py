@@ -246,7 +246,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Every secret: the id, ``span_start`` and ``span_end`` in characters, and the ``secret`` itself.
 
     Null and empty texts have none; a null id is reported as null; repeated rows give repeated results.
-    Other columns are not read. A text is tagged as a whole whatever its length.
+    Other columns are not read. A text is tagged as a whole whatever its length. Spans don't overlap; of paths that
+    score equally Viterbi takes the one of lesser tags. An empty table has no secrets.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([d.schema["id"], T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("s", T.StringType())])
@@ -270,7 +271,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mask: str = MASK) -> DataFrame:
     """``docs`` with every secret in the text replaced by ``mask``; ``chars_col``, where there is one, follows.
 
-    No row is dropped. Rows without a secret stay as they are, null and empty texts too.
+    No row is dropped. Rows without a secret stay as they are, null and empty texts too; repeated rows are changed
+    alike; columns of any name are kept. An empty table stays empty.
     """
     at = docs.columns.index(text_col)
     count = docs.columns.index(chars_col) if chars_col in docs.columns else None
