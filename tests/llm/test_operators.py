@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.llm import cap_filters, decontaminate, graph, lm_score, nbsvm, ngram_join, packing, pii, preference, secret_scan, suffix_dedup
+from locusflow.llm import cap_filters, classes, decontaminate, graph, lm_score, nbsvm, ngram_join, packing, pii, preference, secret_scan, suffix_dedup
 from locusflow.llm import synthetic as syn
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -137,6 +137,24 @@ def test_components_on_the_cluster_are_those_of_the_driver(spark):
     assert graph.components(e.limit(0), "a", "b").count() == 0
 
 
+def test_driver_holds_no_more_of_a_larger_input(spark, monkeypatch):
+    n, auto = 180_000, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    ids = spark.range(n)
+    nodes = ids.select(F.col("id").alias("node"), F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("rep"), F.lit(1).alias("size"))
+    ends = spark.range(1, n, 2).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    more = spark.range(2, n, 3).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    found = ends.union(more).withColumn("links", F.lit(0)).union(ids.select(F.col("id").alias("a"), F.lit(None).cast("long"), F.lit(1)))
+    monkeypatch.setattr(type(found), "toArrow", lambda _: 1 / 0)  # the edges aren't collected
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = classes.linked(nodes.select(F.col("node").alias("id"), "h1", "h2"), nodes, found)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        # 6k+0, 6k+1, 6k+2, 6k+3 by 1-0, 2-1, 3-2; 6k+4, 6k+5 by 5-4
+        assert out.filter(F.expr("class <> id - if(id % 6 < 4, id % 6, id % 6 - 4)")).count() == 0 and out.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+
+
 def test_ngram_join_awkward(spark):
     d = awkward(spark)
     assert result(ngram_join.ngram_jaccard_join(d)) == {4: (4, 1), 5: (4, 1)}
