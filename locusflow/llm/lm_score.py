@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, OVERLAP, WIDTH, OWN, CLASSES, EMBEDDED = 64, 8, 16, 64, 96, 2048
 ROUNDS, BATCH, STEP, GROUPS, SEED, SHARD_ROWS = 3, 64, 0.01, 64, 9, 4000
-_AT_ONCE = 64
+_AT_ONCE, KEYS, MOST = 64, 32, float(np.exp(60))
 
 _encodings: dict[tuple[str, int], tiktoken.Encoding] = {}
 
@@ -57,7 +57,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOC
         enc = encoding(shared.value, pattern)
         for batch in batches:
             for part in byte_slices(batch, 1):
-                ids = [np.array(enc.encode_ordinary(t), dtype) for t in part.column(1).to_pylist()]
+                ids = [np.fromiter(enc.encode_ordinary(t), dtype) for t in part.column(1).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([x.nbytes for x in ids])]).astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(ids).tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(0), blob], ["id", "ids"])
@@ -147,13 +147,13 @@ def windows(tokens: np.ndarray, bounds: np.ndarray, window: int = WINDOW, overla
 
 def gather(tokens, bounds, text, first, skip, classes: Classes, window: int):
     """Inputs (B, window), targets and which positions are to be scored."""
-    at = first[:, None] + np.arange(window)
-    size = np.diff(bounds)[text][:, None]
-    real = at < size
-    index = bounds[text][:, None] + np.minimum(at, np.maximum(size - 1, 0))
-    target = tokens[index]
-    before = classes.row[tokens[np.maximum(index - 1, 0)]]
-    before = np.where(at == 0, 0, before)
+    start, last = bounds[text] + first, bounds[text + 1] - 1
+    index = start[:, None] + np.arange(window)
+    real = index <= last[:, None]
+    target = tokens.take(np.minimum(index, last[:, None], out=index))
+    before = np.empty(target.shape, classes.row.dtype)
+    before[:, 0] = np.where(first > 0, classes.row[tokens[np.maximum(start - 1, 0)]], 0)
+    before[:, 1:] = classes.row.take(target[:, :-1])
     return before, target, real & (np.arange(window) >= skip[:, None])
 
 
@@ -161,85 +161,155 @@ def _mask(window: int) -> np.ndarray:
     return np.tril(np.ones((window, window), np.float32))
 
 
-def forward(p, x, mask, tape: dict | None = None) -> np.ndarray:
-    """Class logits (B * window, classes), up to 60, for inputs (B, window)."""
-    n, window = x.shape
-    width = p["o"].shape[0]
-    h = p["e"][x]
-    h += p["p"]
-    flat = h.reshape(-1, width)
-    w = p["w"].copy()
-    w[:, :width] *= np.float32(1 / np.sqrt(width))
-    q, k, v = ((flat @ w[:, j * width : (j + 1) * width]).reshape(n, window, width) for j in range(3))
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
-    a *= mask
-    s = (a @ np.ones(window, a.dtype))[:, :, None]
-    y = a @ v
-    y /= s
-    z = y.reshape(-1, width) @ p["o"]
-    z += flat
-    if tape is not None:
-        a /= s
-        tape.update(h=flat, q=q, k=k, v=v, a=a, y=y, z=z)
-    logits = z @ p["c"]
-    logits += p["b"]
-    return np.minimum(logits, 60, out=logits)
+def joined(p) -> tuple[np.ndarray, ...]:
+    """The weights as ``forward`` takes them: a column of ones runs along with the embeddings, through which the
+    sums of attention and the bias ``b`` are part of the products, and the query weights hold the scale."""
+    width, dtype = p["o"].shape[0], p["o"].dtype
+    e, at = np.ones((len(p["e"]), width + 1), dtype), np.zeros((len(p["p"]), width + 1), dtype)
+    e[:, :width], at[:, :width] = p["e"], p["p"]
+    q, kv = np.zeros((width + 1, width), dtype), np.zeros((width + 1, 2 * width + 1), dtype)
+    q[:width] = p["w"][:, :width] * dtype.type(1 / np.sqrt(width))
+    kv[:width, :-1], kv[width, -1] = p["w"][:, width:], 1
+    o = np.zeros((width, width + 1), dtype)
+    o[:, :width] = p["o"]
+    return e, at, q, kv, o, np.concatenate([p["c"], p["b"][None]])
+
+
+def forward(j, x, mask, tape: dict, since: int = 0, bounded: bool = False) -> np.ndarray:
+    """Class logits (B, window - since, classes) for inputs (B, window) and ``joined`` weights, of the positions ``since``
+    and later; those before are context. ``tape`` gets what lies between.
+
+    Products are taken window by window, small enough for BLAS not to copy them first. Attention stands as keys by
+    queries, by blocks of ``KEYS`` keys with the queries from the block on; ``bounded`` keeps all logits up to 60."""
+    e, at, wq, wkv, o, c = j
+    width, attention = len(o), []
+    h = e.take(x, axis=0)
+    h += at
+    q, kv = wq.T @ h[:, since:].transpose(0, 2, 1), h @ wkv
+    causal = np.ascontiguousarray(mask.T)
+    for lo in range(0, x.shape[1], KEYS):
+        keys = kv[:, lo : lo + KEYS]
+        start = max(lo, since)
+        a = keys[:, :, :width] @ q[:, :, start - since :]
+        if bounded:
+            np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a *= causal[lo : lo + KEYS, start:]
+        part = keys[:, :, width:].transpose(0, 2, 1) @ a
+        if lo:
+            y[:, :, start - since :] += part
+        else:
+            y = part
+        attention.append(a)
+    s = y[:, width:]
+    y = y[:, :width] / s
+    z = y.transpose(0, 2, 1) @ o
+    z += h[:, since:]
+    tape.update(h=h, kv=kv, a=attention, s=s, y=y, z=z)
+    logits = z @ c
+    return np.minimum(logits, 60, out=logits) if bounded else logits
+
+
+def exponentials(j, x, target, mask, since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+    """``exp`` of the class logits up to 60, its sums over classes, the targets' logits, and ``forward``'s tape.
+
+    Logits are bounded only where a sum shows that one is larger, which saves two passes over them."""
+    for bounded in (False, True):
+        tape: dict = {}
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = forward(j, x, mask, tape, since, bounded)
+            hit = d.reshape(-1).take(target.ravel() + np.arange(0, d.size, d.shape[2]))
+            np.exp(d, out=d)
+            total = d.reshape(-1, d.shape[2]) @ np.ones(d.shape[2], d.dtype)
+            if tape["s"].max() <= MOST and total.max() <= MOST:  # not so where one isn't a number
+                break
+    return d, total, hit, tape
+
+
+def _sums_by_row(at, values, rows: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their row ``at``; two columns go as one complex number."""
+    pairs = values if values.shape[1] % 2 else values.view(np.result_type(values, np.complex64))
+    out = np.zeros((rows, pairs.shape[1]), pairs.dtype)
+    cell = np.arange(out.size).reshape(out.shape).take(at.reshape(-1), axis=0)
+    np.add.at(out.reshape(-1), cell.reshape(-1), pairs.reshape(-1))
+    return out.view(values.dtype)
 
 
 def loss_and_gradients(p, x, target, keep, mask):
     """Mean class loss in nats over the positions kept, and the gradients."""
-    tape: dict = {}
-    d = forward(p, x, mask, tape)
-    n, window = x.shape
-    width, rows = p["o"].shape[0], np.flatnonzero(keep.ravel())
-    np.exp(d, out=d)
-    total = d @ np.ones(d.shape[1], d.dtype)
-    t = target.ravel()[rows]
-    loss = -np.log(d[rows, t] / total[rows] + 1e-30).mean()
-    d *= (keep.ravel() / (total * len(rows))).astype(d.dtype)[:, None]
-    d[rows, t] -= d.dtype.type(1 / len(rows))
-    g = {"b": np.ones(len(d), d.dtype) @ d, "c": tape["z"].T @ d}
-    dz = d @ p["c"].T
-    a, q, k, v, y = (tape[c] for c in "aqkvy")
-    g["o"] = y.reshape(-1, width).T @ dz
-    dy = (dz @ p["o"].T).reshape(n, window, width)
-    da = dy @ v.transpose(0, 2, 1)
-    da -= np.einsum("nij,nij->ni", dy, y)[:, :, None]
-    da *= a
-    dqkv = np.empty((n, window, 3 * width), d.dtype)
-    dqkv[:, :, :width] = da @ k
-    dqkv[:, :, :width] *= d.dtype.type(1 / np.sqrt(width))  # q holds the scale
-    dqkv[:, :, width : 2 * width] = da.transpose(0, 2, 1) @ q
-    dqkv[:, :, 2 * width :] = a.transpose(0, 2, 1) @ dy
-    dqkv = dqkv.reshape(-1, 3 * width)
-    g["w"] = tape["h"].T @ dqkv
-    dz += dqkv @ p["w"].T  # now the gradient of h
+    j = joined(p)
+    d, total, hit, tape = exponentials(j, x, target, mask)
+    _, _, wq, wkv, _, _ = j
+    h, kv, s, y, z = (tape[k] for k in ("h", "kv", "s", "y", "z"))
+    (n, window), width, kept = x.shape, p["o"].shape[0], keep.ravel()
+    count, root = np.count_nonzero(kept), d.dtype.type(1 / np.sqrt(width))
+    loss = ((np.log(total) - hit) * kept).sum() / count
+    # d / total less one at the target is the gradient of the logits; the division is left to narrower factors
+    d.reshape(-1)[target.ravel() + np.arange(0, d.size, d.shape[2])] -= total
+    scale = (kept / (total * count)).astype(d.dtype).reshape(n, window, 1)
+    z *= scale
+    c = (z.transpose(0, 2, 1) @ d).sum(axis=0)
+    dz = d @ np.ascontiguousarray(p["c"].T)
+    dz *= scale
+    g = {"c": c[:width], "b": c[width], "o": (y @ dz).sum(axis=0)}
+    # attention isn't divided by its sums s either; the last row of dy takes the mean of its gradient off
+    dy = np.empty((n, width + 1, window), d.dtype)
+    own = np.matmul(p["o"], dz.transpose(0, 2, 1), out=dy[:, :width])
+    own /= s
+    np.negative(np.einsum("nij,nij->nj", own, y), out=dy[:, width])
+    own = np.ascontiguousarray(own.transpose(0, 2, 1))
+    q, dqkv = h @ wq, np.empty((n, window, 3 * width), d.dtype)
+    dq, dk, dv = (dqkv[:, :, k * width : (k + 1) * width] for k in range(3))
+    for lo, a in zip(range(0, window, KEYS), tape["a"]):
+        keys, hi = kv[:, lo : lo + KEYS], lo + a.shape[1]
+        da = keys[:, :, width:] @ dy[:, :, lo:]
+        da *= a
+        if lo:
+            dq[:, lo:] += da.transpose(0, 2, 1) @ keys[:, :, :width]
+        else:
+            np.matmul(da.transpose(0, 2, 1), keys[:, :, :width], out=dq)
+        np.matmul(da, q[:, lo:], out=dk[:, lo:hi])
+        np.matmul(a, own[:, lo:], out=dv[:, lo:hi])
+    g["w"] = (h.transpose(0, 2, 1) @ dqkv).sum(axis=0)[:width]
+    g["w"][:, :width] *= root  # q holds the scale
+    dz += dqkv @ np.ascontiguousarray(np.concatenate([wq[:width], wkv[:width, :-1]], axis=1).T)  # now the gradient of h
     g["p"] = dz.reshape(n, window * width).sum(axis=0).reshape(window, width)
-    at, rows = x.ravel(), len(p["e"])
-    g["e"] = np.stack([np.bincount(at, column, rows) for column in np.ascontiguousarray(dz.T)], axis=1).astype(d.dtype)
+    g["e"] = _sums_by_row(x, dz.reshape(-1, width), len(p["e"]))
     return float(loss), g
 
 
+def _joint(p) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in _SHAPES])
+
+
+def _parts(v: np.ndarray, like) -> dict[str, np.ndarray]:
+    """Views of a joint vector, in the shapes of ``like``."""
+    ends = np.cumsum([like[k].size for k in _SHAPES])
+    return {k: part.reshape(like[k].shape) for k, part in zip(_SHAPES, np.split(v, ends[:-1]))}
+
+
 def _learn(p, batches, classes: Classes, turn: int, rounds: int, step: float, window: int):
     """Adam on every ``rounds``-th window of a shard, from the ``turn``-th on; the new weights and the windows' number.
 
     Updates take ``BATCH`` windows each whatever the batches are."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    mask, seen, used, n = _mask(window), 0, 0, 0
+    flat = _joint(p)
+    p = _parts(flat, p)  # views
+    m, s, free = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+    mask, seen, used, n, waiting = _mask(window), 0, 0, 0, 0
     held: list[tuple] = []
 
     def update(x, y, keep):
-        nonlocal n
-        _, g = loss_and_gradients(p, x, y, keep, mask)
+        nonlocal n, m, s, flat
+        g = _joint(loss_and_gradients(p, x, y, keep, mask)[1])
         n += 1
-        lr = step * min(1, n / 10)
-        for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.02 * (g[k] ** 2 - s[k])
-            p[k] -= np.float32(lr / (1 - 0.9**n)) * m[k] / (np.sqrt(s[k] / (1 - 0.98**n)) + np.float32(1e-7))
+        np.subtract(g, m, out=free)
+        m += np.multiply(free, 0.1, out=free)
+        g *= g
+        g -= s
+        s += np.multiply(g, 0.02, out=g)
+        np.sqrt(np.divide(s, 1 - 0.98**n, out=free), out=free)
+        np.divide(m, np.add(free, 1e-7, out=free), out=free)
+        flat -= np.multiply(free, step * min(1, n / 10) / (1 - 0.9**n), out=free)
 
     for column in batches:
         tokens, bounds = _flat(column, kind(len(classes.cls)))
@@ -249,13 +319,13 @@ def _learn(p, batches, classes: Classes, turn: int, rounds: int, step: float, wi
             pick = np.zeros(1, np.int64)  # at least one window of a shard that has any
         seen, used, at = seen + len(text), used + len(pick), 0
         while at < len(pick):
-            some = pick[at : at + BATCH - sum(len(h[0]) for h in held)]
+            some = pick[at : at + BATCH - waiting]
             x, y, keep = gather(tokens, bounds, text[some], first[some], skip[some], classes, window)
-            held.append((x, classes.cls[y], keep))
-            at += len(some)
-            if sum(len(h[0]) for h in held) == BATCH:
+            held.append((x, classes.cls.take(y), keep))
+            at, waiting = at + len(some), waiting + len(some)
+            if waiting == BATCH:
                 update(*(np.concatenate(c) for c in zip(*held)))
-                held = []
+                held, waiting = [], 0
     if held:
         update(*(np.concatenate(c) for c in zip(*held)))
     return p, used
@@ -278,15 +348,11 @@ def _by_shard(batches):
 
 
 def _pack(p) -> bytes:
-    return np.concatenate([p[k].ravel() for k in _SHAPES]).astype(np.float64).tobytes()
+    return _joint(p).astype(np.float64).tobytes()
 
 
 def _unpack(v: np.ndarray, like) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in _SHAPES:
-        out[k] = v[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+    return _parts(v.astype(np.float32), like)
 
 
 def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rounds: int = ROUNDS, step: float = STEP, window: int = WINDOW, groups: int = GROUPS) -> dict[str, np.ndarray]:
@@ -327,17 +393,17 @@ def train(tokens: DataFrame, classes: Classes, prior: np.ndarray, rounds: int =
 def negative_log_likelihoods(tokens: np.ndarray, bounds: np.ndarray, p, classes: Classes, window: int = WINDOW, overlap: int = OVERLAP) -> np.ndarray:
     """Sum over every text of -log P(subword | those before it), in nats; each subword counts once."""
     text, first, skip = windows(tokens, bounds, window, overlap)
-    out, mask, one = np.zeros(len(bounds) - 1), _mask(window), np.ones(classes.classes, np.float32)
-    for k in range(0, len(text), _AT_ONCE):
-        t, f, s = text[k : k + _AT_ONCE], first[k : k + _AT_ONCE], skip[k : k + _AT_ONCE]
-        x, y, keep = gather(tokens, bounds, t, f, s, classes, window)
-        logits = forward(p, x, mask)
-        cls = classes.cls[y.ravel()]
-        hit = logits[np.arange(len(cls)), cls]
-        np.exp(logits, out=logits)
-        nll = np.log(logits @ one) - hit - classes.inside[y.ravel()]
-        nll *= keep.ravel()
-        out += np.bincount(t, nll.reshape(x.shape).sum(axis=1, dtype=np.float64), len(out))
+    out, mask, j = np.zeros(len(bounds) - 1), _mask(window), joined(p)
+    for since in np.unique(skip).tolist():  # positions that are context in all windows get no logits
+        these = np.flatnonzero(skip == since)
+        for k in range(0, len(these), _AT_ONCE):
+            t, f, s = (w[these[k : k + _AT_ONCE]] for w in (text, first, skip))
+            x, y, keep = gather(tokens, bounds, t, f, s, classes, window)
+            y, keep = y[:, since:], keep[:, since:]
+            _, total, hit, _ = exponentials(j, x, classes.cls.take(y), mask, since)
+            nll = np.log(total) - hit - classes.inside.take(y.ravel())
+            nll *= keep.ravel()
+            out += np.bincount(t, nll.reshape(y.shape).sum(axis=1, dtype=np.float64), len(out))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -720,3 +721,55 @@ def test_training_reads_every_window(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "arrow_map", here)
     lm_score.train(tokens, classes, np.zeros(250), window=window)
     assert seen == Counter(range(count))
+
+
+def test_scoring_takes_less_time_than_whole_windows():
+    width, window, count = lm_score.WIDTH, lm_score.WINDOW, 640
+    classes, rng, mask = lm_score.make_classes(np.arange(5000)), np.random.default_rng(8), lm_score._mask(window)
+    p = lm_score.init(classes.rows, classes.classes)
+    tokens, bounds = rng.integers(0, 5000, count * window).astype(np.uint16), np.arange(0, count * window + 1, window)
+
+    def inputs(k):
+        return lm_score.gather(tokens, bounds, *(t[k : k + 64] for t in lm_score.windows(tokens, bounds)), classes, window)
+
+    def plain():  # one product for all windows, every pair of positions and every class masked and bounded
+        out = []
+        for k in range(0, count, 64):
+            x, y, keep = inputs(k)
+            h = p["e"][x]
+            h += p["p"]
+            flat = h.reshape(-1, width)
+            q, k, v = ((flat @ p["w"][:, j * width : (j + 1) * width]).reshape(h.shape) for j in range(3))
+            q *= np.float32(1 / np.sqrt(width))
+            a = q @ k.transpose(0, 2, 1)
+            np.minimum(a, 60, out=a)
+            np.exp(a, out=a)
+            a *= mask
+            z = (a @ v / (a @ np.ones(window, a.dtype))[:, :, None]).reshape(-1, width) @ p["o"]
+            z += flat
+            o = z @ p["c"]
+            o += p["b"]
+            np.minimum(o, 60, out=o)
+            hit = o[np.arange(len(o)), classes.cls[y.ravel()]]
+            np.exp(o, out=o)
+            nll = np.log(o @ np.ones(o.shape[1], o.dtype)) - hit - classes.inside[y.ravel()]
+            out.append((nll * keep.ravel()).reshape(x.shape).sum(axis=1))
+        return np.concatenate(out)
+
+    lm_score.steady_heap()  # as in the workers
+    ratios = []
+    for _ in range(30):
+        t = time.thread_time()
+        whole = plain()
+        u = time.thread_time()
+        got = lm_score.negative_log_likelihoods(tokens, bounds, p, classes)
+        ratios.append((time.thread_time() - u) / (u - t))
+    assert np.allclose(got, whole, rtol=1e-5)
+    assert np.median(ratios) < 0.85
+    p["w"][:, : 2 * width] = np.tile(p["w"][:, :width] * 12, 2)  # attention's logits above 60, then the classes' too
+    for by in (1, 400):
+        p["c"] *= by
+        got = lm_score.negative_log_likelihoods(tokens, bounds, p, classes)
+        assert np.isfinite(got).all() and np.allclose(got, plain(), rtol=1e-3)
+        x, y, keep = inputs(0)
+        assert all(np.isfinite(g).all() for g in lm_score.loss_and_gradients(p, x, classes.cls[y], keep, mask)[1].values())
