@@ -216,6 +216,21 @@ def test_cap_filters_recall_and_awkward(spark):
     assert cap_filters.near_duplicate_vectors(odd.limit(0)).count() == 0
 
 
+def test_every_pair_at_the_threshold_is_found(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(700, 16))
+    x = np.repeat(base, 3, axis=0) + rng.normal(size=(2100, 16)) * 0.33
+    x = [[float(v) for v in r] for r in np.concatenate([x, x[:3], x[:3] * 2]).astype(np.float32)]
+    d = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    want = linked({(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= cap_filters.THRESHOLD, 1)))})
+    monkeypatch.setattr(cap_filters, "EXACT_BLOCK", 512)
+    assert len(want) > 1000 and result(cap_filters.near_duplicate_vectors(d)) == want
+    monkeypatch.setattr(cap_filters, "EXACT_WORK", 0)  # by filters
+    got = result(cap_filters.near_duplicate_vectors(d))
+    assert set(got) <= set(want) and sum(n for _, n in got.values()) >= 0.97 * sum(n for _, n in want.values())
+
+
 def test_vectors_of_several_lengths(spark):
     vectors = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [2.0, 4.0, 6.0]), (4, [1.0, 0.0, 2.0, 0.0]), (5, [1.0, 0.0, 2.0, 0.0]), (6, [2.0]), (7, [3.0]), (8, [-1.0]), (9, [1.0] * 9)]
     d = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
