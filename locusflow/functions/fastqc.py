@@ -2,8 +2,8 @@
 
 The pass turns Arrow batches into integer counts in numpy (by position and quality, position and base, and so
 on), which are then summed by ordinary aggregation; everything after it works on tables whose size depends on
-read length, not on the number of reads. Modules that depend on file order (the tile and k-mer samples, the first
-100,000 distinct reads) use the reads' numbers, so that results don't depend on how the file is cut.
+read length, not on the number of reads; but for the two about copies, which count every distinct key. Modules that depend
+on file order (the tile and k-mer samples) use the reads' numbers, so that results don't depend on how the file is cut.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ CONTAMINANTS = [
     ("Illumina Single End Adapter 1", "GATCGGAAGAGCTCGTATGCCGTCTTCTGCTTG"), ("Illumina Single End PCR Primer 1", "AATGATACGGCGACCACCGAGATCTACACTCTTTCCCTACACGACGCTCTTCCGATCT"), ("Illumina Paired End Adapter 2", "GATCGGAAGAGCGGTTCAGCAGGAATGCCGAG"),
     ("TruSeq Universal Adapter", "AATGATACGGCGACCACCGAGATCTACACTCTTTCCCTACACGACGCTCTTCCGATCT"), ("TruSeq Adapter, Index 1", "GATCGGAAGAGCACACGTCTGAACTCCAGTCACATCACGATCTCGTATGCCGTCTTCTGCTTG"), ("Clontech Universal Primer Mix Short", "CTAATACGACTCACTATAGGGC"), ("Nextera Transposase Sequence", "CTGTCTCTTATACACATCT"),
 ]
-LIMIT, KEY, QUALITIES, K = 100_000, 50, 94, 7
+KEY, QUALITIES, K = 50, 94, 7
 DUP_BINS = ("1", "2", "3", "4", "5", "6", "7", "8", "9", ">10", ">50", ">100", ">500", ">1k", ">5k", ">10k+")
 _CODE = np.full(256, 4, np.uint8)
 for _k, _c in enumerate("ACGT"):
@@ -102,14 +102,16 @@ def _counts(wanted: frozenset[str]):
                     yield of("tile", np.repeat(tiles, n), local, phred[np.repeat(qo[take], n) + local])
             if wanted & {"kmer_content"}:
                 some = np.flatnonzero((index + 1) % 50 == 0)
-                for r in some.tolist():
-                    code = base[so[r] : min(so[r + 1], so[r] + 500)].astype(np.int64)
-                    if len(code) < K:
-                        continue
-                    w = np.lib.stride_tricks.sliding_window_view(code, K)
-                    whole = (w < 4).all(axis=1)
-                    value = np.where(whole, w @ (4 ** np.arange(K - 1, -1, -1)), 4**K)  # 4**K: with an N
-                    yield of("kmer", value, np.arange(len(value)))
+                n = np.minimum(size[some], 500)
+                some, n = some[n >= K], n[n >= K] - K + 1
+                if len(some):
+                    local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    at = np.repeat(so[some], n) + local
+                    value, whole = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+                    for k in range(K):
+                        b = base[at + k]
+                        value, whole = value * 4 + b, whole & (b < 4)
+                    yield of("kmer", np.where(whole, value, 4**K), local)  # 4**K: with an N
 
     return run
 
@@ -172,38 +174,17 @@ def _gc(h: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.range(101).select(F.col("id").cast("int").alias("p")).join(bins, "p", "left").select("p", F.coalesce("c", F.lit(0.0)).alias("c"))
 
 
-def _corrected(at_limit: int, total: int, level: int, n: int) -> float:
-    """How many sequences of a duplication level there would be without the limit on distinct ones."""
-    if at_limit == total or total - n < at_limit:
-        return float(n)
-    miss, care = 1.0, 1 - n / (n + 0.01)
-    i = np.arange(at_limit)
-    logs = np.cumsum(np.log(np.maximum((total - i - level) / (total - i), 1e-300)))
-    miss = float(np.exp(logs[-1])) if len(logs) else 1.0
-    return float(n) if miss < care else n / (1 - miss)
-
-
-def _dup_bin(level: int) -> int:
-    for k, least in ((15, 9999), (14, 4999), (13, 999), (12, 499), (11, 99), (10, 49), (9, 9)):
-        if level - 1 > least or (k == 9 and level - 1 >= 9):
-            return k
-    return level - 1
-
-
-def _keys(reads: DataFrame) -> tuple[DataFrame, int, int]:
-    """Counts of the first ``LIMIT`` distinct keys in file order, how many reads there were by then, and in all."""
-    total = reads.count()
-    keyed = reads.select(F.upper(F.substring("sequence", 1, KEY)).alias("key"), "_index")
-    n = 4 * LIMIT
-    while True:
-        firsts = keyed.filter(F.col("_index") < n).groupBy("key").agg(F.min("_index").alias("first"))
-        if n >= total or firsts.count() >= LIMIT:
-            break
-        n *= 4
-    chosen = firsts.orderBy("first").limit(LIMIT)  # bounded by the feature's own limit, in rows of 50 bytes
-    s = chosen.agg(F.count("*").alias("n"), F.max("first").alias("last")).first()
-    at_limit = total if s["n"] < LIMIT else s["last"] + 1
-    return keyed.join(F.broadcast(chosen), "key").groupBy("key").agg(F.count("*").alias("n")), at_limit, total
+def _keys(reads: DataFrame) -> DataFrame:
+    """``key`` and ``n`` of every distinct key."""
+    return reads.select(F.upper(F.substring(F.coalesce("sequence", F.lit("")), 1, KEY)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def _dup_bin(n: Column) -> Column:
+    """Place in ``DUP_BINS`` of keys that ``n`` reads have."""
+    out = n - 1
+    for k, least in ((9, 10), (10, 51), (11, 101), (12, 501), (13, 1001), (14, 5001), (15, 10001)):
+        out = F.when(n >= least, k).otherwise(out)
+    return out.cast("int")
 
 
 def _source(keys: DataFrame) -> Column:
@@ -225,21 +206,30 @@ def _kmers(h: DataFrame, spark: SparkSession) -> DataFrame:
     def p_values(batches):
         for b in batches:
             n, t, e = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("n", "t", "expected"))
-            p = [_above(int(x), int(y), float(z)) * 4**K for x, y, z in zip(n, t, e)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("a", "b", "count", "oe")] + [pa.array(p, pa.float64())], ["a", "b", "count", "oe", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("a", "b", "count", "oe")] + [pa.array(_above(n, t, e) * 4**K)], ["a", "b", "count", "oe", "p"])
 
     ship(spark)
     d = d.select("a", "b", "count", "oe", "n", "t", "expected").mapInArrow(p_values, "a long, b long, count long, oe double, p double").filter("p < 0.01")
     return d.groupBy("a").agg(F.max("count").alias("count"), F.max("oe").alias("obs_exp_max"), F.min_by("b", F.struct(-F.col("oe"), F.col("b"))).alias("at"), F.min("p").alias("pvalue"))
 
 
-def _above(hits: int, n: int, p: float) -> float:
-    """Chance of more than ``hits`` of n."""
-    if hits >= n:
-        return 0.0
-    k = np.arange(hits + 1, n + 1)
-    logs = np.array([math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in k.tolist()]) + k * math.log(p) + (n - k) * math.log1p(-p)
-    return float(min(1.0, np.exp(logs).sum()))
+def _above(hits: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Chances of more than ``hits`` of n, each.
+
+    Beyond the mean the terms fall by a growing factor, so each sum ends where its next term no longer counts."""
+    out = np.zeros(len(hits))
+    at = np.flatnonzero(hits < n)
+    j, n, p = hits[at].astype(np.float64) + 1, n[at].astype(np.float64), p[at]
+    log = np.array([math.lgamma(y + 1) - math.lgamma(x + 1) - math.lgamma(y - x + 1) for x, y in zip(j.tolist(), n.tolist())]) + j * np.log(p) + np.where(n > j, (n - j) * np.log1p(-np.minimum(p, 1 - 1e-16)), 0)
+    term = np.exp(np.minimum(log, 0))
+    odds = p / np.maximum(1 - p, 1e-300)
+    while len(at):
+        out[at] += term
+        ratio = (n - j) / (j + 1) * odds
+        term, j = term * ratio, j + 1
+        more = (j <= n) & ((term > out[at] * 1e-17) | (ratio > 0.9)) & (term > 0)
+        at, j, n, term, odds = at[more], j[more], n[more], term[more], odds[more]
+    return np.minimum(out, 1.0)
 
 
 def fastqc_tidy(reads: DataFrame, modules: Sequence[str] | None = None) -> DataFrame:
@@ -311,22 +301,23 @@ def fastqc_tidy(reads: DataFrame, modules: Sequence[str] | None = None) -> DataF
             w = d.agg(F.min("pvalue").alias("p"))
             out.append(_status(w, m, F.col("p") < 1e-5, F.col("p") < 0.01))
     if {"overrepresented", "dup_levels"} & set(chosen):
-        keys, at_limit, total = _keys(reads)
-        keys = keys.persist()
+        keys = _keys(reads)
+        if {"overrepresented", "dup_levels"} <= set(chosen):
+            keys = keys.persist()
         if "overrepresented" in chosen:
-            d = keys.withColumn("pct", F.col("n") * 100.0 / F.lit(max(total, 1))).filter("pct > 0.1").withColumn("source", _source(keys))
+            d = keys.withColumn("pct", F.col("n") * 100.0 / F.lit(max(reads.count(), 1))).filter("pct > 0.1").withColumn("source", _source(keys)).persist()  # at most 1,000 rows
             src = d.select(F.lit("overrepresented").alias("module"), F.col("key").alias("label"), F.lit(None).cast("int").alias("position"), F.lit("source").alias("metric"), F.lit(None).cast("double").alias("value"), F.col("source").alias("value_str"))
             w = d.agg(F.max("pct").alias("p"))
             out += [_rows(d, "overrepresented", "count", F.col("n"), F.col("key")), _rows(d, "overrepresented", "pct", F.col("pct"), F.col("key")), src, _status(w, "overrepresented", F.col("p") > 1, F.col("p") > 0.1)]
         if "dup_levels" in chosen:
             share = np.zeros(len(DUP_BINS))
-            distinct = raw = 0.0
-            for r in keys.groupBy("n").count().collect():  # distinct counts of at most ``LIMIT`` keys
-                n = _corrected(at_limit, total, r["n"], r["count"])
-                share[_dup_bin(r["n"])] += n * r["n"]
-                distinct, raw = distinct + n, raw + n * r["n"]
+            distinct = 0
+            for r in keys.groupBy(_dup_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect():  # a row a bin
+                share[r["bin"]] = r["n"]
+                distinct += r["keys"]
+            raw = share.sum()
             left = distinct / raw * 100 if raw else 100.0
-            rows = [("dup_levels", b, None, "pct", float(x / raw * 100) if raw else 0.0, None) for b, x in zip(DUP_BINS, share)]
+            rows = [("dup_levels", b, None, "pct", float(x * 100 / raw) if raw else 0.0, None) for b, x in zip(DUP_BINS, share)]
             rows.append(("dup_levels", None, None, "total_dedup_pct", float(left), None))
             rows.append(("dup_levels", None, None, "status", None, "FAIL" if left < 50 else "WARN" if left < 80 else "PASS"))
             out.append(spark.createDataFrame(rows, TIDY))
@@ -422,6 +413,6 @@ def fastqc(spark: SparkSession, path: str, modules: Sequence[str] | None = None,
     chosen = _chosen(modules)
     if not group:
         warnings.warn("positions are never grouped; group has no effect", UserWarning, stacklevel=2)
-    ordered = {"per_tile_quality", "kmer_content", "overrepresented", "dup_levels"} & set(chosen)
+    ordered = {"per_tile_quality", "kmer_content"} & set(chosen)
     reads = numbered(spark, path, split_bytes) if ordered else load(spark, path, split_bytes).withColumn("_index", F.col("_row"))
     return FastQCResult(fastqc_tidy(reads, chosen), chosen)
