@@ -210,6 +210,37 @@ def test_small_and_large_sides_agree(spark, sides, monkeypatch):
         assert small == results()
 
 
+@pytest.mark.parametrize("batch,portion,task", [(10_000, 1 << 17, 10**6), (3, 7, 10), (5, 11, 10**6)])
+def test_sides_that_are_small_on_each_contig_agree(spark, sides, monkeypatch, batch, portion, task):
+    from locusflow.operators import lookup
+
+    a, b = sides
+    a, b = [*a, *[(f"c{k % 9}", k % 5, k % 5 + k % 3) for k in range(40)]], [*b, *[(f"c{k % 11}", k % 7, k % 7 + k % 4) for k in range(40)]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for zero in (True, False):
+            x = frame(spark, [*a, (None, 1, 2), (None, 4, 2), ("A", None, 2), ("only", 1, 3)], zero)
+            y = frame(spark, [*b, (None, 1, 2), ("B", 3, None), ("lone", 1, 3)], zero)
+            z = y.selectExpr("chrom", "cast(start as int) as start", "end", "concat('n', start) as note")
+
+            def results():
+                return [
+                    rows(lf.overlap(x, z)), rows(lf.overlap(z, x)), rows(lf.overlap(x, y, overlap_output="left")), rows(lf.overlap(z, x, overlap_output="left", distinct_output=True)), rows(lf.count_overlaps(x, y)), rows(lf.count_overlaps(z, y, naive_query=False)),
+                    rows(lf.coverage(z, y)), rows(lf.subtract(x, y)), rows(lf.subtract(z, y)), rows(lf.nearest(x, z)), rows(lf.nearest(z, y, k=3)), rows(lf.nearest(x, y, k=2, overlap=False)), rows(lf.nearest(x, y.limit(0))), rows(lf.overlap(z, z, on_cols=["note"])),
+                ]
+
+            want = results()
+            with monkeypatch.context() as m:
+                m.setattr(lookup, "small", lambda *_: False)
+                m.setattr(lookup, "PORTION", portion)
+                m.setattr(lookup, "TASK_ROWS", task)
+                assert results() == want
+                plan = lf.count_overlaps(x, y)._jdf.queryExecution().toString()
+                assert "MapInArrow" in plan and "Window" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_a_small_left_side_is_broadcast_too(spark, sides, monkeypatch):
     from locusflow.operators import lookup
 
