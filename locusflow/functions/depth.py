@@ -26,7 +26,10 @@ def events(reads: DataFrame, zero: bool, filter_flag: int = FILTER_FLAG, min_map
         block = F.array(F.struct(acc["at"].alias("s"), (acc["at"] + x["n"]).alias("e")))
         return F.struct(F.when(moves, acc["at"] + x["n"]).otherwise(acc["at"]).alias("at"), F.when(x["o"].isin("M", "=", "X"), F.concat(acc["b"], block)).otherwise(acc["b"]).alias("b"))
 
-    blocks = r.select(F.col("chrom").alias("contig"), F.explode(F.aggregate(ops, start, step, lambda a: a["b"])).alias("b"))
+    # one operation, the usual case, needs no steps
+    lone = F.array(F.struct(start["at"].alias("s"), (start["at"] + F.regexp_replace("cigar", "\\D", "").cast("long")).alias("e")))
+    parts = F.when(F.col("cigar").rlike(r"^\d+[M=X]$"), lone).otherwise(F.aggregate(ops, start, step, lambda a: a["b"]))
+    blocks = r.select(F.col("chrom").alias("contig"), F.explode(parts).alias("b"))
     both = blocks.select("contig", F.explode(F.array(F.struct(F.col("b.s").alias("x"), F.lit(1).alias("d")), F.struct(F.col("b.e").alias("x"), F.lit(-1).alias("d")))).alias("p"))
     return both.groupBy("contig", F.col("p.x").alias("x")).agg(F.sum("p.d").alias("d")).filter("d <> 0")
 
@@ -48,7 +51,7 @@ def depth(
     known = coordinate_system(reads)
     zero_in = use_zero_based(None, spark) if known is None else known
     zero = use_zero_based(zero_based, spark) if zero_based is not None or known is None else known
-    e = events(reads, zero_in, filter_flag, min_mapping_quality)
+    e = events(reads, zero_in, filter_flag, min_mapping_quality).persist()  # read several times below; the alignments themselves once
     lengths = None
     if per_base:
         refs = (get_metadata(reads)["header"] or {}).get("reference_sequences") or []

@@ -180,3 +180,35 @@ def test_bgen(spark, tmp_path, compressed):
     assert len(offsets(p, BgenHeader(p), region, False)) == 2
     assert lf.read_bgen(spark, p).filter("chrom = '1' and start > 150").count() == 1
     assert {r["property"] for r in lf.describe_bgen(spark, p).collect()} >= {"n_variants", "samples"}
+
+
+def test_records_of_a_batch_are_those_made_one_by_one():
+    import random
+
+    import pyarrow as pa
+
+    from locusflow.sources import bam
+
+    r = random.Random(9)
+    names, tags = {"c1": 0, "c2": 1}, {"NM": "i", "AS": "f", "RG": "Z"}
+    rows = []
+    for k in range(300):
+        n = r.choice((0, 1, 4, 7))
+        rows.append({
+            "name": r.choice((None, "", "q", f"read{k}")), "chrom": r.choice((None, "c1", "c2", "c3")), "start": r.choice((None, 0, 1, 20_000, 2**29)), "flags": r.choice((None, 4, 1024)), "cigar": r.choice((None, "*", f"{n}M", "3M1I2D10N4S")), "mapping_quality": r.choice((None, 0, 60)),
+            "mate_chrom": r.choice((None, "c2")), "mate_start": r.choice((None, 7)), "template_length": r.choice((None, -9)), "sequence": r.choice((None, "*", "acgTN"[:n])), "quality_scores": r.choice((None, "*", "I" * n, "!#~AB"[:n])),
+            "NM": r.choice((None, 0, -3, 2**31 - 1)), "AS": r.choice((None, 1.5)), "RG": r.choice((None, "", "grp")),
+        })
+    schema = pa.schema([(c, pa.string() if c in ("name", "chrom", "cigar", "mate_chrom", "sequence", "quality_scores", "RG") else pa.float32() if c == "AS" else pa.int64()) for c in rows[0]])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    want = b"".join(bam.encode(x, names, tags) for x in rows)
+    assert bam.encode_batch(batch, names, tags) == want
+    assert bam.encode_batch(batch.slice(5, 9), names, tags) == b"".join(bam.encode(x, names, tags) for x in rows[5:14])
+    assert bam.encode_batch(batch, names, {"NM": "c"}) is None and bam.encode_batch(batch, names, {"RG": "A"}) is None and bam.encode_batch(batch.select(["name", "chrom"]), names, {}) is not None
+    # tags of one layout are read at once, others one by one
+    alike = [x | {"NM": k, "AS": 0.5, "RG": None} for k, x in enumerate(rows)]
+    for these in (alike, rows):
+        data, kinds = b"".join(bam.encode(x, names, tags) for x in these), {"NM": "i", "AS": "f", "XX": "i"}
+        got = bam.decode(data, list(names), True, [], kinds)
+        assert got["NM"].to_pylist() == [x["NM"] for x in these] and got["AS"].to_pylist() == [x["AS"] for x in these] and got["XX"].null_count == len(these)
+        assert bam.decode(data, list(names), True, ["cigar"], {})["cigar"].to_pylist() == [x["cigar"] if x["cigar"] else "*" for x in these]
