@@ -302,3 +302,28 @@ def test_depth_in_bins_is_depth(spark, monkeypatch):
     assert sum(x[3] * (x[2] - x[1]) for x in want[0]) == sum(cover.values()) and all(cover[x[0], x[1]] == x[3] for x in want[0])
     monkeypatch.setattr(module, "spread", lambda d, c, p: scan.spread(d, c, p, rows_per_bin=7))
     assert [rows(lf.depth(df)), rows(lf.depth(df, dense_mode="force"))] == want
+
+
+def test_gaps_and_depth_read_their_input_once(spark, sides):
+    """Both use what they derive several times: it is kept, so that the input isn't read and merged again."""
+    a, _ = sides
+    x = frame(spark, [r for r in a if r[1] < r[2]], True)
+    view = frame(spark, [("A", 0, 200), ("B", 0, 200)], True)
+    gaps = lf.complement(x, view)
+    assert "InMemoryTableScan" in gaps._jdf.queryExecution().toString()
+    covered = {(c, p) for c, s, e in a for p in range(s, e)}
+    assert {(c, p) for c, s, e in gaps.collect() for p in range(s, e)} == {(c, p) for c in "AB" for p in range(200)} - covered
+    reads = spark.createDataFrame([("A", 1, 0, "5M", 60), ("A", 3, 0, "2M1D2=", 60), ("A", 9, 0, "3S", 60), ("A", 20, 0, "4X", 60)], "chrom string, start long, flags long, cigar string, mapping_quality long")
+    deep = lf.depth(lf.with_coordinate_system(reads, True), zero_based=True)
+    assert "InMemoryTableScan" in deep._jdf.queryExecution().toString()
+    assert [tuple(r) for r in deep.orderBy("pos_start").collect()] == [("A", 1, 3, 1), ("A", 3, 5, 2), ("A", 5, 8, 1), ("A", 20, 24, 1)]
+
+
+def test_reads_are_sorted_before_their_texts_are_made(spark, monkeypatch):
+    from locusflow import format_queries
+
+    seen = []
+    monkeypatch.setattr(format_queries.sinks, "write_fastq", lambda df, path: seen.append(df))
+    format_queries._flowcell(spark, "/root/testdata/sf0.001")
+    below = seen[0]._jdf.queryExecution().optimizedPlan().toString().split("Sort", 1)[1]
+    assert "md5" not in below and "l_extendedprice" in below
